@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.byte_bpe import encode_corpus
 from cohortloom.llm.mixing import mix, source_sizes, temperature_weights
 from cohortloom.llm.nearest_time import Target, nearest_in_time
+from cohortloom.llm.similar import similar_pairs
 from cohortloom.session import cut, load
 
 WINDOWS = [Target("baseline", "t0", 90, 0), Target("m6", "t_6m", 60, 60), Target("m12", "t_12m", 60, 60)]
@@ -19,6 +20,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return nearest_in_time(load(spark, d, "stanford_index"), records, WINDOWS, item="drug_id", person="person_id", kind="biomarker", day="measurement_date", record="measurement_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = similar_pairs(load(spark, d, "drug_item"), item="drug_id", fields={"target_vector": 1590, "text_embedding": 1024})
+    return pairs.select("vec_field", F.col("id_a").alias("drug_id_a"), F.col("id_b").alias("drug_id_b"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(load(spark, d, "documents"), doc_id="doc_id", text="text")
 
@@ -45,7 +51,7 @@ def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, exponent double, natural_share double, share double")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p8_ids, p9_mixture, p9_shares, p9_temperature)}
+QUERIES = {f.__name__: f for f in (p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature)}
 
 P5 = """
 WITH q AS (
