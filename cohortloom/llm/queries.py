@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.llm.alias_map import map_names
 from cohortloom.llm.byte_bpe import encode_corpus
 from cohortloom.llm.mixing import mix, source_sizes, temperature_weights
 from cohortloom.llm.nearest_time import Target, nearest_in_time
@@ -14,6 +15,30 @@ from cohortloom.session import cut, load
 WINDOWS = [Target("baseline", "t0", 90, 0), Target("m6", "t_6m", 60, 60), Target("m12", "t_12m", 60, 60)]
 
 
+def _mapped_names(spark: SparkSession, d: str) -> DataFrame:
+    concept = load(spark, d, "concept")
+    listed = concept.where("vocabulary_id = 'RxNorm' and concept_class_id = 'Ingredient' and standard_concept = 'S'")
+    # a brand is an alias of the one ingredient that its products hold
+    brand = F.regexp_extract("concept_name", r"\[([^\]]+)\]\s*$", 1)
+    held = F.lower(F.trim(F.regexp_extract("concept_name", r"^(.*?)\s+\d[\d.]*\s+\w+\s+[^/]*\[", 1)))
+    brands = (
+        concept.where("concept_class_id = 'Branded Drug'").select(brand.alias("brand"), held.alias("held"))
+        .groupBy("brand").agg(F.min("held").alias("held"), F.count_distinct("held").alias("n")).where("n = 1 and held != ''")
+        .join(listed.select("concept_id", F.lower("concept_name").alias("held")), "held").select("concept_id", F.col("brand").alias("concept_name"))
+    )
+    return map_names(load(spark, d, "chembl_mechanisms"), listed, row_id="mech_id", value="drug_name", entry_id="concept_id", name="concept_name", aliases=brands)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped_names(spark, d).select("mech_id", "concept_id")
+
+
+def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values of no listed ingredient, with the number of their rows."""
+    none = _mapped_names(spark, d).where("how = 'unmatched'").select("mech_id")
+    return load(spark, d, "chembl_mechanisms").join(none, "mech_id").groupBy("drug_name").agg(F.count("*").alias("n_rows"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     book = load(spark, d, "biomarker_codebook").select(F.col("concept_id").alias("measurement_concept_id"), "biomarker").distinct()
     records = load(spark, d, "filtered_measurements").join(F.broadcast(book), "measurement_concept_id")
@@ -51,7 +76,7 @@ def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, exponent double, natural_share double, share double")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature)}
 
 P5 = """
 WITH q AS (
