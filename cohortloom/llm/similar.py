@@ -56,7 +56,7 @@ def unpack(data: bytes, z: zstandard.ZstdDecompressor) -> np.ndarray:
 class PStable:
     """Tables of ``width``-wide Gaussian projections of unit vectors, and a sign-free sketch of ``sketch`` bytes."""
 
-    def __init__(self, dim: int, tables: int, hashes: int, probes: int, width: float = 2.0, sketch: int = 64, seed: int = 11):
+    def __init__(self, dim: int, tables: int, hashes: int, probes: int, width: float = 2.0, sketch: int = 256, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
         self.tables, self.hashes, self.probes, self.width = tables, hashes, probes if hashes else 0, width
         self.sketcher = (rng.standard_normal((dim, sketch)) / math.sqrt(sketch)).astype(np.float32)
@@ -112,24 +112,97 @@ def _top(score: np.ndarray, m: int) -> np.ndarray:
     return np.argpartition(-score, m - 1, axis=1)[:, :m] if score.shape[1] > m else np.broadcast_to(np.arange(score.shape[1]), score.shape)
 
 
-def _groups(stream: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame]:
-    """Whole groups of a stream sorted by ``key``."""
-    held: list[pd.DataFrame] = []
+def _slices(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Short pieces of wide batches."""
+    for b in stream:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _parts(stream: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Stretches of equal keys of a sorted stream; a long group comes in several stretches."""
     for b in stream:
         pdf = b.to_pandas()
         if not len(pdf):
             continue
-        k = pdf[key].to_numpy()
-        edges = np.flatnonzero(k[1:] != k[:-1]) + 1
-        starts = [0, *edges.tolist(), len(pdf)]
+        edge = np.zeros(len(pdf) - 1, bool)
+        for key in keys:
+            k = pdf[key].to_numpy()
+            edge |= k[1:] != k[:-1]
+        starts = [0, *(np.flatnonzero(edge) + 1).tolist(), len(pdf)]
         for a, z in zip(starts, starts[1:]):
             part = pdf.iloc[a:z]
-            if held and held[0][key].iloc[0] != part[key].iloc[0]:
-                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
-                held = []
-            held.append(part)
+            yield tuple(part[key].iloc[0] for key in keys), part
+
+
+def _groups(stream: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame]:
+    """Whole groups of a stream sorted by ``key``."""
+    held: list[pd.DataFrame] = []
+    last = None
+    for now, part in _parts(stream, [key]):
+        if held and now != last:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        held.append(part)
+        last = now
     if held:
-        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        yield pd.concat(held, ignore_index=True)
+
+
+class BucketScorer:
+    """Best entries by sketch for the queries of one bucket part: entries are held, queries stream by."""
+
+    def __init__(self, per_bucket: int, floor: float, query_rows: int = 256, entry_rows: int = 8192):
+        self.per_bucket, self.floor, self.query_rows, self.entry_rows = per_bucket, floor, query_rows, entry_rows
+        self.own: list[pd.DataFrame] = []
+        self.entries: tuple[np.ndarray, np.ndarray] | None = None
+
+    @staticmethod
+    def _unit(g: pd.DataFrame) -> np.ndarray:
+        x = np.frombuffer(b"".join(g["sketch"]), np.int8).reshape(len(g), -1).astype(np.float32)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """All entries are there: they become queries too."""
+        if self.entries is None and self.own:
+            own = pd.concat(self.own, ignore_index=True)
+            self.entries = (self._unit(own), own["id"].to_numpy())
+            self.own = []
+            yield from self.ask(own)
+
+    def ask(self, g: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        if self.entries is None:
+            return
+        entry, entry_ids = self.entries
+        for a in range(0, len(g), self.query_rows):
+            q = g.iloc[a : a + self.query_rows]
+            unit, ids = self._unit(q), q["id"].to_numpy()
+            cands, ests = [], []
+            for z in range(0, len(entry), self.entry_rows):
+                est = unit @ entry[z : z + self.entry_rows].T
+                near = entry_ids[z : z + self.entry_rows]
+                at = np.minimum(np.searchsorted(near, ids), len(near) - 1) if np.all(near[1:] > near[:-1]) else None
+                if at is not None:
+                    same = np.flatnonzero(near[at] == ids)
+                    est[same, at[same]] = -2
+                else:
+                    est[ids[:, None] == near[None, :]] = -2
+                top = _top(est, self.per_bucket)
+                cands.append(near[top])
+                ests.append(np.take_along_axis(est, top, 1))
+            cand, est = np.concatenate(cands, 1), np.concatenate(ests, 1)
+            if len(cands) > 1:
+                top = _top(est, self.per_bucket)
+                cand, est = np.take_along_axis(cand, top, 1), np.take_along_axis(est, top, 1)
+            good = est >= self.floor
+            n = good.sum(1)
+            keep = n > 0
+            if keep.any():
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n[keep])]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q["f"].to_numpy()[keep]), pa.array(ids[keep]), pa.ListArray.from_arrays(offsets, pa.array(cand[good])), pa.ListArray.from_arrays(offsets, pa.array(est[good].astype(np.float32)))],
+                    ["f", "id", "cand", "est"],
+                )
 
 
 def similar_pairs(
@@ -140,12 +213,15 @@ def similar_pairs(
     k: int = 5,
     least: float = 0.5,
     tables: int = 2,
-    probes: int = 3,
+    probes: int = 2,
     bucket_rows: int = 1500,
     per_bucket: int = 8,
     candidates: int = 12,
-    block: int = 2048,
+    slack: float = 0.08,
+    bucket_cap: int = 8192,
+    team_rows: int = 1024,
     hops: int = 3,
+    few_needs: int = 300_000,
 ) -> DataFrame:
     """Rows (vec_field, id_a, id_b, cosine), id_a < id_b: one of the two is among the ``k`` most similar of the other.
 
@@ -153,7 +229,7 @@ def similar_pairs(
     precision rounded to 9 decimals, at least ``least``; ties go to the smaller id. Vectors that are null, all
     zero, of another length, or that hold a null, NaN or infinity take no part; null ids neither. Copies are each
     other's neighbours with cosine 1. An empty table gives no row. The number of hashes of a table follows the
-    number of rows, so that buckets keep about ``bucket_rows`` entries. Recall is measured in the tests.
+    number of rows, so that buckets keep about ``bucket_rows`` entries. Candidates estimated ``slack`` below ``least`` still count. Recall is measured in the tests.
     """
     names = list(fields)
     df = df.where(F.col(item).isNotNull())
@@ -165,7 +241,7 @@ def similar_pairs(
 
     def hashed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         makers = [PStable(d, tables, hashes, probes) for d in dims]
-        for b in stream:
+        for b in _slices(stream):
             ids = np.asarray(b.column(0))
             for f, maker in enumerate(makers):
                 at, rows = as_matrix(b.column(1 + f), dims[f])
@@ -196,40 +272,32 @@ def similar_pairs(
 
     per = 1 + probes
     own = reps.select("f", "id", "sketch", F.posexplode("codes").alias("i", "code")).withColumn("bucket", F.xxhash64("f", F.floor(F.col("i") / per), "code"))
-    visits = own.select("bucket", (F.col("i") % per == 0).alias("home"), "f", "id", "sketch")
+    home = own.where(F.col("i") % per == 0)
+    big = home.groupBy("bucket").count().where(F.col("count") > bucket_cap).select("bucket", F.ceil(F.col("count") / bucket_cap).cast("int").alias("parts"))
+    # a large bucket is cut in parts by its entries; every query of the bucket visits every part
+    visits = (
+        own.join(big, "bucket", "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("lives", F.when(F.col("i") % per == 0, F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).otherwise(-1))
+        .select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "lives", "f", "id", "sketch")
+        .select("bucket", "part", (F.col("lives") != F.col("part")).alias("guest"), "f", "id", "sketch")
+    )
 
     def score(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(stream, "bucket"):
-            home = g["home"].to_numpy()
-            if not home.any() or len(g) < 2:
-                continue
-            sketch = np.frombuffer(b"".join(g["sketch"]), np.int8).reshape(len(g), -1).astype(np.float32)
-            ids = g["id"].to_numpy()
-            entry, entry_ids = sketch[home], ids[home]
-            scale = 1 / np.maximum(np.linalg.norm(sketch, axis=1), 1e-9)
-            for a in range(0, len(g), block):
-                query, qid = sketch[a : a + block], ids[a : a + block]
-                lists, vals = [], []
-                for z in range(0, len(entry), 8 * block):
-                    est = (query @ entry[z : z + 8 * block].T) * scale[a : a + block, None] * scale[home][None, z : z + 8 * block]
-                    est[qid[:, None] == entry_ids[None, z : z + 8 * block]] = -2
-                    top = _top(est, per_bucket)
-                    lists.append(entry_ids[z : z + 8 * block][top])
-                    vals.append(np.take_along_axis(est, top, 1))
-                cand, val = np.concatenate(lists, 1), np.concatenate(vals, 1)
-                if len(lists) > 1:
-                    top = _top(val, per_bucket)
-                    cand, val = np.take_along_axis(cand, top, 1), np.take_along_axis(val, top, 1)
-                good = val > least - 0.3
-                keep = np.flatnonzero(good.any(1))
-                if len(keep):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(g["f"].to_numpy()[a : a + block][keep]), pa.array(qid[keep]),
-                         pa.array([cand[r][good[r]] for r in keep], pa.list_(pa.int64())), pa.array([val[r][good[r]].astype(np.float32) for r in keep], pa.list_(pa.float32()))],
-                        ["f", "id", "cand", "est"],
-                    )
-
-    lists = visits.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(score, "f int, id long, cand array<long>, est array<float>")
+        last, scorer = None, BucketScorer(per_bucket, least - slack)
+        for now, rows in _parts(stream, ["bucket", "part"]):
+            if now != last:
+                yield from scorer.close()
+                last, scorer = now, BucketScorer(per_bucket, least - slack)
+            guest = rows["guest"].to_numpy()
+            if not guest.all():
+                scorer.own.append(rows[~guest])
+            if guest.any():
+                yield from scorer.close()
+                yield from scorer.ask(rows[guest])
+        yield from scorer.close()
+
+    lists = visits.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest", "id").mapInArrow(score, "f int, id long, cand array<long>, est array<float>")
     best = (
         lists.select("f", "id", F.explode(F.arrays_zip("cand", "est")).alias("x")).select("f", "id", "x.cand", "x.est")
         .groupBy("f", "id").agg(F.sort_array(F.collect_set(F.struct("est", "cand")), False).alias("all"))
@@ -238,13 +306,18 @@ def similar_pairs(
     best = cut(best)
     links = best.select("f", "id", F.explode("cand").alias("to"))
     label = best.select("f", "id", F.array_min(F.concat(F.array("id"), "cand")).alias("label"))
-    edges = links.unionByName(links.select("f", F.col("to").alias("id"), F.col("id").alias("to"))).distinct()
+    edges = cut(links.unionByName(links.select("f", F.col("to").alias("id"), F.col("id").alias("to"))).distinct())
     for _ in range(hops if n else 0):
         near = edges.join(label.select("f", F.col("id").alias("to"), "label"), ["f", "to"]).groupBy("f", "id").agg(F.min("label").alias("near"))
         label = label.join(near, ["f", "id"], "left").select("f", "id", F.least("label", F.coalesce("near", "label")).alias("label"))
-    sized = Window.partitionBy("f", "label")
-    members = label.withColumn("parts", F.ceil(F.count("*").over(sized) / block)).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    members = cut(members.select("f", "id", F.xxhash64("f", "label", "part").alias("team")))
+        label = cut(label)
+    # a large cluster is cut by hash bucket, so that neighbours mostly stay together, and what is still too large by id
+    sized = label.groupBy("f", "label").agg(F.ceil(F.count("*") / team_rows).alias("parts"))
+    members = label.join(sized, ["f", "label"]).join(reps.select("f", "id", F.element_at("codes", 1).alias("code")), ["f", "id"])
+    members = members.withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")))
+    sized = members.groupBy("f", "label", "part").agg(F.ceil(F.count("*") / (2 * team_rows)).alias("again"))
+    members = members.join(sized, ["f", "label", "part"]).withColumn("rest", F.pmod(F.xxhash64("id"), F.col("again")))
+    members = cut(members.select("f", "id", F.xxhash64("f", "label", "part", "rest").alias("team")))
     asks = best.join(members, ["f", "id"])
     needs = (
         asks.select("f", "id", "team", F.lit(True).alias("asks"))
@@ -255,7 +328,7 @@ def similar_pairs(
 
     def packed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=1)
-        for b in stream:
+        for b in _slices(stream):
             ids = np.asarray(b.column(0))
             for f, dim in enumerate(dims):
                 at, rows = as_matrix(b.column(1 + f), dim)
@@ -263,7 +336,10 @@ def similar_pairs(
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(ids[at]), pa.array([pack(r, z) for r in rows], pa.binary())], ["f", "id", "vec"])
 
     vectors = src.mapInArrow(packed, "f int, id long, vec binary")
-    fetched = vectors.hint("shuffle_hash").join(needs, ["f", "id"]).select("f", "id", "vec", F.explode("teams").alias("t")).select("t.team", "t.asks", "f", "id", "vec")
+    # who needs which vector: a row of some 30 bytes per vector; sent to all only while it is that small
+    needs = cut(needs)
+    needs = F.broadcast(needs) if needs.count() <= few_needs else needs.hint("shuffle_hash")
+    fetched = vectors.join(needs, ["f", "id"]).select("f", "id", "vec", F.explode("teams").alias("t")).select("t.team", "t.asks", "f", "id", "vec")
 
     def rank(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()
@@ -273,11 +349,11 @@ def similar_pairs(
                 continue
             vec = np.stack([unpack(v, z) for v in g["vec"]])
             # the scale of a vector doesn't matter for its cosine, but for overflow it does
-            wide = vec / np.abs(vec).max(1, keepdims=True)
-            unit = (wide / np.linalg.norm(wide, axis=1, keepdims=True)).astype(np.float32)
+            unit = vec / np.abs(vec).max(1, keepdims=True)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
             ask = np.flatnonzero(asks)
-            for a in range(0, len(ask), 512):
-                q = ask[a : a + 512]
+            for a in range(0, len(ask), 256):
+                q = ask[a : a + 256]
                 est = unit[q] @ unit.T
                 est[np.arange(len(q)), q] = -2
                 top = _top(est, min(k + 4, len(g) - 1))
