@@ -129,7 +129,10 @@ def retention(manifest_rows: DataFrame, raw: DataFrame | None = None) -> DataFra
 
 
 def family_comparators(drugs: DataFrame) -> DataFrame:
-    """(ingredient_id, comparator_id): other drugs of the same five-letter ATC family; ``drugs`` has drug_id, atc."""
+    """(ingredient_id, comparator_id): other drugs of the same five-letter ATC family; ``drugs`` has drug_id, atc.
+
+    The bridge is as long as families are large, as a family of n drugs has n (n - 1) comparators.
+    """
     fam = drugs.where("atc is not null").select("drug_id", F.substring(F.upper("atc"), 1, 5).alias("family"))
     other = fam.select(F.col("drug_id").alias("comparator_id"), "family")
     return fam.join(other, "family").where("drug_id != comparator_id").select(F.col("drug_id").alias("ingredient_id"), "comparator_id").distinct()

@@ -139,9 +139,10 @@ def resume_queue(spark: SparkSession, d: str) -> DataFrame:
     return cohorts.remaining(load(spark, d, "customer").select(F.col("c_custkey").alias("drug_id")).distinct(), done)
 
 
-@query("WITH f AS (SELECT p_partkey AS d, substr(upper(p_name), 1, 5) AS k FROM part) SELECT DISTINCT a.d AS ingredient_id, b.d AS comparator_id FROM f a JOIN f b ON a.k = b.k AND a.d <> b.d")
+@query("WITH f AS (SELECT p_partkey AS d, lpad(CAST(p_partkey // 4 AS VARCHAR), 5, '0') AS k FROM part) SELECT DISTINCT a.d AS ingredient_id, b.d AS comparator_id FROM f a JOIN f b ON a.k = b.k AND a.d <> b.d")
 def family_comparators(spark: SparkSession, d: str) -> DataFrame:
-    return cohorts.family_comparators(load(spark, d, "part").select(F.col("p_partkey").alias("drug_id"), F.col("p_name").alias("atc")))
+    code = F.concat(F.lpad(F.floor(F.col("p_partkey") / 4).cast("string"), 5, "0"), F.lit("x"), F.col("p_partkey").cast("string"))
+    return cohorts.family_comparators(load(spark, d, "part").select(F.col("p_partkey").alias("drug_id"), code.alias("atc")))
 
 
 _DAY = r"CASE WHEN regexp_matches(trim({c}, ' '), '^\d{{4}}-\d{{1,2}}-\d{{1,2}}') THEN try_cast(regexp_extract(trim({c}, ' '), '^(\d{{4}}-\d{{1,2}}-\d{{1,2}})', 1) AS DATE) END"
@@ -289,12 +290,12 @@ def outcome_plausible(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH out AS ({X.OUTCOME_SQL}), s AS (SELECT drug_id, count(DISTINCT person_id) AS n FROM stanford_index GROUP BY 1),
 a AS (SELECT drug_id, biomarker, count(baseline_val) AS n_baseline, count(*) FILTER (WHERE has_pair_6m) AS n_pair_6m, count(*) FILTER (WHERE has_pair_12m) AS n_pair_12m, avg(baseline_val) AS mb, quantile_cont(delta_6m, 0.5) AS md FROM out GROUP BY 1, 2)
-SELECT drug_id, biomarker, n, n_baseline, round(n_baseline * 100.0 / n, 6) AS pct_baseline, n_pair_6m, round(n_pair_6m * 100.0 / n, 6) AS pct_pair_6m, n_pair_12m, round(n_pair_12m * 100.0 / n, 6) AS pct_pair_12m,
-       round(mb, 6) AS mean_baseline, round(md, 6) AS median_delta_6m FROM a JOIN s USING (drug_id)"""
+SELECT drug_id, biomarker, n, n_baseline, round(n_baseline * 100.0 / n, 8) AS pct_baseline, n_pair_6m, round(n_pair_6m * 100.0 / n, 8) AS pct_pair_6m, n_pair_12m, round(n_pair_12m * 100.0 / n, 8) AS pct_pair_12m,
+       round(mb, 8) AS mean_baseline, round(md, 8) AS median_delta_6m FROM a JOIN s USING (drug_id)"""
 )
 def outcome_completeness(spark: SparkSession, d: str) -> DataFrame:
     size = load(spark, d, "stanford_index").groupBy("drug_id").agg(F.count_distinct("person_id").alias("n"))
-    return stats.rounded(outcomes.completeness(_clinical(spark, d), size))
+    return stats.rounded(outcomes.completeness(_clinical(spark, d), size), 8)
 
 
 # ---------------------------------------------------------------- statistics
