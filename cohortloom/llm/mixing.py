@@ -114,7 +114,7 @@ def mix(docs: DataFrame, targets: DataFrame, *, budget: float | None = None, see
     0. A document never comes more than max_repeats times; repeated rows of ``docs`` are documents of their
     own. Report: source, target_share, max_repeats, available_tokens, mixed_tokens, reached_share, repeats.
     """
-    docs = cut(docs)
+    docs = cut(docs.select("doc_id", "source", "n_tokens"))
     sizes = source_sizes(docs)
     listed = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.collect() if r["source"] is not None}
     here = {s: sizes[s] for s in listed if s in sizes and sizes[s][0] > 0}

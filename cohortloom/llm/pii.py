@@ -173,8 +173,10 @@ class Tagger:
         return out
 
 
-TITLE = re.compile(r"(?:(?:Dr|Drs|Dra|Prof|Mrs|Mr|Ms|Miss|Mme|Mlle|M|Herr|Frau|Sr|Sra|Srta|Don|Doña|Pt|Pat|Patient|Patientin|Patiente|Paciente|Tel|cc)\b\.?:?\s+)+", re.I)
+TITLE = re.compile(r"(?:(?:Dr|Drs|Dra|Prof|Mrs|Mr|Ms|Miss|Mme|Mlle|Herr|Frau|Sr|Sra|Srta|Don|Doña|Pt|Pat|Patient|Patientin|Patiente|Paciente|Tel|cc)\b\.?:?\s+)+", re.I)
 EMAIL = re.compile(r"[A-Za-z0-9][\w.+-]*(?:\s?@\s?|\s?[\[(]at[\])]\s?| at (?=[\w-]+ dot ))[\w-]+(?:(?:\.|\s?[\[(]dot[\])]\s?| dot )[\w-]+)+")
+# Words before an address that do not belong to it.
+PLACE_WORDS = re.compile(r"(?:(?:the )?address|adresse|anschrift|direcci[oó]n|domicil(?:e|io)|wohnhaft(?: in)?|wohnt|lives at|moved from|to)\b\s?:?\s+", re.I)
 LEAD = " \t\r\n.,;:/#*()<>[]{}|\"“”„»«–—-﻿​"
 
 
@@ -206,6 +208,8 @@ def snap(text: str, a: int, z: int, kind: int) -> tuple[int, int] | None:
     if name == "id_number":
         return (a, z) if digits >= 5 else None
     if name == "address":
+        while m := PLACE_WORDS.match(text, a, z):
+            a = m.end()
         return (a, z) if digits >= 1 and z - a >= 8 else None
     m = TITLE.match(text, a, z)
     if m:

@@ -46,7 +46,8 @@ PHONES = (
 )
 STREET = (
     r"(?:(?:(?:Flat|Unit|Apt) ?\d+[,/] ?)?\d+ ?[A-Da-d]?(?: bis| ter)?,? (?:[^\W\d][\w'’.\-]*,? ){1,6}?|(?:Calle|C/|Avda\.|Avenida|Plaza|Paseo|Camino) ?(?:[^\W\d][\w'’.\-]*,? ){1,5}?(?:n\.º )?\d+,? (?:\d+\.º \w,? )?|"
-    r"(?:[^\W\d][\w'’.\-]* ){0,2}?[^\W\d][\w'’\-]*(?:straße|str\.|weg|ring|kamp|gasse|platz|allee|ufer|steig|damm|hof) ?\d+ ?[a-d]?(?:,| in)? )(?:Apt \d+, )?(?:\d{5} )?"
+    r"(?:(?:Am|An|Im|In|Zum|Zur|Auf|Unter|Alte[nr]?|Neue[nr]?|Große[nr]?|Kleine[nr]?|de[rmn]) ){0,3}(?!Wohnhaft)[^\W\d][\w'’\-]*(?:straße|str\.|weg|ring|kamp|gasse|platz|allee|ufer|steig|damm|hof) ?\d+ ?[a-d]?(?:,| in)? |"
+    r"(?:(?:Am|An|Im|In|Zum|Zur|Auf|Unter|Alte[nr]?|Neue[nr]?|de[rmn]) ){0,3}(?!Wohnhaft)[^\W\d][\w'’\-]+ \d+ ?[a-d]? in (?=\d{5} ))(?:Apt \d+, )?(?:\d{5} )?"
 )
 
 
