@@ -222,12 +222,31 @@ def snap(text: str, a: int, z: int, kind: int) -> tuple[int, int] | None:
 _TAGGERS: dict[str, Tagger] = {}
 
 
+def _raw_spans(tagger: Tagger, texts: list[str], core: int = 100_000, margin: int = 1_000, load: int = 400_000) -> list[list[tuple[int, int, int]]]:
+    """Spans of texts, a bounded number of characters at a time. A long text goes in pieces that see ``margin``
+    characters beyond their core on either side; a span belongs to the piece in whose core it starts."""
+    pieces = [(i, a, text[max(0, a - margin) : a + core + margin]) for i, text in enumerate(texts) for a in range(0, max(1, len(text)), core)]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    at = 0
+    while at < len(pieces):
+        z, size = at, 0
+        while z < len(pieces) and (z == at or size + len(pieces[z][2]) <= load):
+            size += len(pieces[z][2])
+            z += 1
+        part = pieces[at:z]
+        for (i, a, piece), spans in zip(part, tagger.spans([p[2] for p in part])):
+            shift = max(0, a - margin)
+            out[i] += [(s + shift, e + shift, k) for s, e, k in spans if a <= s + shift < a + core]
+        at = z
+    return out
+
+
 def find(texts: list[str], path: str = MODEL_FILE) -> list[list[tuple[int, int, int]]]:
     """Per text the checked, non-overlapping (start, end, kind), in order."""
     if path not in _TAGGERS:
         _TAGGERS[path] = Tagger.load(path)
     out = []
-    for text, spans in zip(texts, _TAGGERS[path].spans(texts)):
+    for text, spans in zip(texts, _raw_spans(_TAGGERS[path], texts)):
         kept: list[tuple[int, int, int]] = []
         for a, z, kind in spans:
             got = snap(text, a, z, kind)

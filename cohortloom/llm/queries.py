@@ -9,6 +9,7 @@ from cohortloom.llm.alias_map import map_names
 from cohortloom.llm.byte_bpe import encode_corpus
 from cohortloom.llm.mixing import mix, source_sizes, temperature_weights
 from cohortloom.llm.nearest_time import Target, nearest_in_time
+from cohortloom.llm.pii import find_personal, redact_personal
 from cohortloom.llm.similar import similar_pairs
 from cohortloom.session import cut, load
 
@@ -76,7 +77,15 @@ def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "source string, exponent double, natural_share double, share double")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(load(spark, d, "documents"), doc_id="doc_id", text="text").select("doc_id", "pii_type", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_personal(load(spark, d, "documents"), doc_id="doc_id", text="text")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature, p10_found, p10_redacted)}
 
 P5 = """
 WITH q AS (
@@ -88,4 +97,13 @@ SELECT drug_id, q.person_id, biomarker, target_name, measurement_id FROM q JOIN
 QUALIFY row_number() OVER (PARTITION BY drug_id, q.person_id, biomarker, target_name, day ORDER BY abs(date_diff('day', day, measurement_date)), measurement_date DESC, measurement_id) = 1
 """
 
-SQL = {"p5_found": P5}
+_VEC = "SELECT '{f}' AS vec_field, drug_id, list_transform({f}, lambda x: CAST(x AS DOUBLE)) AS v FROM drug_item WHERE len({f}) = {n}"
+P6 = f"""
+WITH a AS ({_VEC.format(f='target_vector', n=1590)} UNION ALL {_VEC.format(f='text_embedding', n=1024)}),
+u AS (SELECT vec_field, drug_id, v FROM a WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT x.vec_field, x.drug_id AS i, y.drug_id AS j, round(list_cosine_similarity(x.v, y.v), 9) AS c FROM u x JOIN u y ON x.vec_field = y.vec_field AND x.drug_id <> y.drug_id),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY vec_field, i ORDER BY c DESC, j) <= 5)
+SELECT DISTINCT vec_field, least(i, j) AS drug_id_a, greatest(i, j) AS drug_id_b FROM t WHERE c >= 0.5
+"""
+
+SQL = {"p5_found": P5, "p6_found": P6}

@@ -212,7 +212,7 @@ def similar_pairs(
     fields: dict[str, int],
     k: int = 5,
     least: float = 0.5,
-    tables: int = 2,
+    tables: int = 3,
     probes: int = 2,
     bucket_rows: int = 1500,
     per_bucket: int = 8,
@@ -300,12 +300,13 @@ def similar_pairs(
     lists = visits.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest", "id").mapInArrow(score, "f int, id long, cand array<long>, est array<float>")
     best = (
         lists.select("f", "id", F.explode(F.arrays_zip("cand", "est")).alias("x")).select("f", "id", "x.cand", "x.est")
-        .groupBy("f", "id").agg(F.sort_array(F.collect_set(F.struct("est", "cand")), False).alias("all"))
-        .select("f", "id", F.slice(F.transform("all", lambda x: x["cand"]), 1, candidates).alias("cand"))
+        .groupBy("f", "id").agg(F.slice(F.sort_array(F.collect_set(F.struct("est", "cand")), False), 1, candidates).alias("all"))
+        .select("f", "id", F.transform("all", lambda x: x["cand"]).alias("cand"), F.transform(F.filter("all", lambda x: x["est"] >= least), lambda x: x["cand"]).alias("sure"))
     )
     best = cut(best)
-    links = best.select("f", "id", F.explode("cand").alias("to"))
-    label = best.select("f", "id", F.array_min(F.concat(F.array("id"), "cand")).alias("label"))
+    # clusters are joined by sure links only; doubtful ones would tie them together by chance
+    links = best.select("f", "id", F.explode("sure").alias("to"))
+    label = best.select("f", "id", F.array_min(F.concat(F.array("id"), "sure")).alias("label"))
     edges = cut(links.unionByName(links.select("f", F.col("to").alias("id"), F.col("id").alias("to"))).distinct())
     for _ in range(hops if n else 0):
         near = edges.join(label.select("f", F.col("id").alias("to"), "label"), ["f", "to"]).groupBy("f", "id").agg(F.min("label").alias("near"))
