@@ -19,10 +19,9 @@ INDEX = ["person_id", "t0", "t_6m", "t_12m", "history_days_prior", "follow_up_da
 
 @dataclass(frozen=True)
 class Steps:
-    """Every candidate with the outcome of each step, and the exposures that began on its t0."""
+    """Every candidate with the outcome of each step, how many drugs began on its t0, and the smallest and largest of them."""
 
     candidates: DataFrame
-    starts: DataFrame
 
 
 def screen(exposures: DataFrame, observation: DataFrame, protocol: Protocol = Protocol(), comparators: DataFrame | None = None) -> Steps:
@@ -31,25 +30,32 @@ def screen(exposures: DataFrame, observation: DataFrame, protocol: Protocol = Pr
     ``exposures``: person_id, exp_date, ingredient_id, is_monotherapy (a bag; rows with a null among the first
     three do not count). ``observation``: person_id, obs_start, obs_end. ``comparators``, if given, has
     (ingredient_id, comparator_id): persons exposed to one in the wash-out are dropped as well.
+
+    Repeated exposures merge before the first shuffle, which spreads a hot person over all tasks; what is left of a
+    person, one row per drug and day, then meets once, and both windows and the join work on that partitioning.
     """
     rows = exposures.where("person_id is not null and exp_date is not null and ingredient_id is not null").select("person_id", "ingredient_id", "exp_date", "is_monotherapy")
-    # one shuffle by (person, ingredient) feeds the day table, the window and the first exposures
-    days = rows.groupBy("person_id", "ingredient_id", "exp_date").agg(F.bool_and("is_monotherapy").alias("all_mono"), F.bool_or("is_monotherapy").alias("any_mono"))
+    days = rows.groupBy("person_id", "ingredient_id", "exp_date").agg(F.bool_and("is_monotherapy").alias("all_mono"), F.bool_or("is_monotherapy").alias("any_mono")).repartition("person_id")
     line = Window.partitionBy("person_id", "ingredient_id").orderBy("exp_date")
     whole = Window.partitionBy("person_id", "ingredient_id")
+    together = Window.partitionBy("person_id", "exp_date")
     days = days.withColumn("before", F.lag("exp_date").over(line)).withColumn("t0", F.min(F.when(F.col("any_mono"), F.col("exp_date"))).over(whole))
     days = days.withColumn("is_new", F.col("before").isNull() | (F.col("before") < F.date_sub("exp_date", protocol.washout_days)))
-    starts = days.where("is_new").select("person_id", F.col("exp_date").alias("t0"), "ingredient_id", "all_mono")
-    began = starts.groupBy("person_id", "t0").agg(F.count("*").alias("n_new"), F.bool_and("all_mono").alias("all_mono"))
-    first = days.where(F.col("exp_date") == F.col("t0")).select(F.col("ingredient_id").alias("drug_id"), "person_id", "t0", "is_new")
+    new = lambda c: F.when(F.col("is_new"), F.col(c))
+    days = days.withColumns(
+        {
+            "n_new": F.count(new("ingredient_id")).over(together), "new_mono": F.bool_and(new("all_mono")).over(together),
+            "new_low": F.min(new("ingredient_id")).over(together), "new_high": F.max(new("ingredient_id")).over(together),
+        }
+    )
+    first = days.where(F.col("exp_date") == F.col("t0"))
     seen = observation.groupBy("person_id", "obs_start", "obs_end").count().drop("count")
     history, ahead = F.datediff("t0", "obs_start"), F.datediff("obs_end", "t0")
     inside = F.col("t0").between(F.col("obs_start"), F.col("obs_end")) & (history >= protocol.history_days) & (ahead >= protocol.follow_up_days)
-    cand = first.join(seen, "person_id", "left").withColumn("observed", F.coalesce(inside, F.lit(False)))
-    cand = cand.join(began, ["person_id", "t0"], "left").select(
-        "drug_id", "person_id", "t0", F.date_add("t0", 182).alias("t_6m"), F.date_add("t0", 365).alias("t_12m"),
+    cand = first.join(seen, "person_id", "left").withColumn("observed", F.coalesce(inside, F.lit(False))).select(
+        F.col("ingredient_id").alias("drug_id"), "person_id", "t0", F.date_add("t0", 182).alias("t_6m"), F.date_add("t0", 365).alias("t_12m"),
         history.cast("int").alias("history_days_prior"), ahead.cast("int").alias("follow_up_days"), (ahead >= protocol.full_follow_up_days).alias("has_12m_followup"),
-        "observed", (F.col("observed") & F.col("is_new")).alias("washed"), F.coalesce("n_new", F.lit(0)).alias("n_new"), F.coalesce("all_mono", F.lit(True)).alias("all_mono"),
+        "observed", (F.col("observed") & F.col("is_new")).alias("washed"), "n_new", F.coalesce("new_mono", F.lit(True)).alias("all_mono"), "new_low", "new_high",
     )
     if comparators is not None:
         hit = (
@@ -60,7 +66,7 @@ def screen(exposures: DataFrame, observation: DataFrame, protocol: Protocol = Pr
             .select("drug_id", "person_id", "t0").distinct().withColumn("leak", F.lit(True))
         )
         cand = cand.join(hit, ["drug_id", "person_id", "t0"], "left").withColumn("washed", F.col("washed") & F.col("leak").isNull()).drop("leak")
-    return Steps(cand, starts)
+    return Steps(cand)
 
 
 def mono_cohorts(steps: Steps) -> DataFrame:
@@ -80,8 +86,8 @@ def attrition(steps: Steps) -> DataFrame:
 def pair_members(steps: Steps) -> DataFrame:
     """Two drugs began on t0, both as single-ingredient products: (drug_id, other_id, index columns)."""
     two = steps.candidates.where("washed and n_new = 2 and all_mono")
-    other = steps.starts.select("person_id", "t0", F.col("ingredient_id").alias("other_id"))
-    return two.join(other, ["person_id", "t0"]).where("other_id != drug_id").select("drug_id", "other_id", *INDEX)
+    other = F.when(F.col("drug_id") == F.col("new_low"), F.col("new_high")).otherwise(F.col("new_low"))
+    return two.select("drug_id", other.alias("other_id"), *INDEX)
 
 
 def pair_cohorts(members: DataFrame, names: DataFrame | None = None, least: int = 50) -> DataFrame:
