@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.config import Paths, Protocol, biomarker_codebook
-from cohortloom.operators import audit, cache, catalog, cohorts, outcomes, pairs, representations, targets, vocabulary
+from cohortloom.operators import audit, cache, catalog, cohorts, features, outcomes, pairs, representations, targets, vocabulary
 from cohortloom.sources import readers, writers
 
 OBSERVATION = ("person_id", "observation_period_start_date", "observation_period_end_date")
@@ -42,8 +42,19 @@ class Study:
         writers.parquet(exposure, str(self.paths.drug_exposure))
         writers.parquet(cache.trim_measurement(readers.tolerant_csv(self.spark, self.raw("measurement"), *MEASUREMENT), biomarker_codebook(self.spark)), str(self.paths.measurement))
 
+    def features(self, min_score: int = 400, components: int = 128) -> None:
+        """Protein vectors from the language model's table, reactome.tsv, string_links.txt.gz, string_aliases.tsv.gz, gtex.gct.gz and the protein vocabulary."""
+        lm = self.spark.read.parquet(self.raw("lm_embeddings"))
+        proteins = lm.select("uniprot_id")
+        path = features.pathway_embeddings(readers.reactome(self.spark, self.raw("reactome.tsv")), proteins, components)
+        links = features.interaction_embeddings(readers.string_links(self.spark, self.raw("string_links.txt.gz")), readers.string_aliases(self.spark, self.raw("string_aliases.tsv.gz")), proteins, components, min_score)
+        tpm, tissues = readers.gct(self.spark, self.raw("gtex.gct.gz"))
+        expression = features.expression_embeddings(tpm, self.spark.read.parquet(self.raw("protein_vocabulary")), proteins, len(tissues))
+        writers.parquet(features.assembled_vectors(lm, path, links, expression), str(self.paths.root / "protein_vectors"))
+
     def catalog(self, cutoff: float = 10_000.0) -> None:
-        concept, mech, aff, vp, text = (self.spark.read.parquet(self.raw(n)) for n in ("concept", "mechanisms", "affinities", "protein_vectors", "text_embeddings"))
+        concept, mech, aff, text = (self.spark.read.parquet(self.raw(n)) for n in ("concept", "mechanisms", "affinities", "text_embeddings"))
+        vp = self.spark.read.parquet(readers.first_existing(self.spark, str(self.paths.root), "protein_vectors", "raw/protein_vectors") or self.raw("protein_vectors"))
         drugs = vocabulary.ingredients(concept, standard=True)
         dim = vp.agg(F.max(F.size("vp"))).first()[0] or 0
         base = targets.theoretical_catalog(drugs, targets.drug_targets(drugs, mech, aff), vp, dim=dim, cutoff=cutoff)
@@ -100,7 +111,7 @@ class Study:
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("stage", choices=["mapping", "cache", "catalog", "cohorts", "outcomes", "passes", "pairs", "audit", "all"])
+    p.add_argument("stage", choices=["mapping", "cache", "features", "catalog", "cohorts", "outcomes", "passes", "pairs", "audit", "all"])
     p.add_argument("root", type=Path)
     p.add_argument("--ratio", type=float, default=1.0, help="share of persons in the cache")
     p.add_argument("--no-resume", action="store_true")
@@ -110,10 +121,10 @@ def main(argv: list[str] | None = None) -> None:
     a = p.parse_args(argv)
     study = Study(SparkSession.builder.appName("cohortloom").getOrCreate(), Paths(a.root, sampled=a.ratio < 1.0))
     steps = {
-        "mapping": study.mapping, "cache": lambda: study.cache(a.ratio), "catalog": lambda: study.catalog(a.cutoff), "cohorts": lambda: study.cohorts(not a.no_resume, a.limit),
+        "mapping": study.mapping, "cache": lambda: study.cache(a.ratio), "features": study.features, "catalog": lambda: study.catalog(a.cutoff), "cohorts": lambda: study.cohorts(not a.no_resume, a.limit),
         "outcomes": lambda: study.outcomes(a.min_n), "passes": study.passes, "pairs": study.pairs, "audit": study.audit,
     }
-    for name in [s for s in steps if s not in ("passes", "pairs")] if a.stage == "all" else [a.stage]:
+    for name in [s for s in steps if s not in ("features", "passes", "pairs")] if a.stage == "all" else [a.stage]:
         steps[name]()
 
 

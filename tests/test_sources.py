@@ -132,3 +132,39 @@ def test_command_line(spark, tmp_path):
     cli.main(["cohorts", str(tmp_path)])
     assert spark.read.parquet(str(p.cohorts / "index")).count() == 5
     assert spark.read.parquet(str(p.cohorts / "audit/windows")).select(F.sum("n_outside")).first()[0] == 0
+
+
+def test_feature_stage(spark, tmp_path):
+    from cohortloom import cli
+
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    spark.createDataFrame([("P1", [1.0, 0.0]), ("P2", [0.0, 2.0])], "uniprot_id string, esm2_embedding array<float>").write.parquet(str(raw / "lm_embeddings"))
+    spark.createDataFrame([("P1", "g1 protein")], "concept_code string, concept_name string").write.parquet(str(raw / "protein_vocabulary"))
+    write(raw / "reactome.tsv", "P1\tR1\tu\tn\tIEA\tHomo sapiens\nP2\tR1\tu\tn\tIEA\tHomo sapiens\nP2\tR2\tu\tn\tIEA\tHomo sapiens\n")
+    write(raw / "string_links.txt.gz", "protein1 protein2 combined_score\ns1 s2 900\ns2 s1 900\ns2 s3 800\ns3 s2 800\n", "gz")
+    write(raw / "string_aliases.tsv.gz", "#id\talias\tsource\ns1\tP1\tX\n", "gz")
+    write(raw / "gtex.gct.gz", "#1.2\n1\t2\nName\tDescription\tLiver\tLung\nE1\tG1\t1.5\t2\n", "gz")
+    cli.main(["features", str(tmp_path)])
+    got = {r["uniprot_id"]: r["vp"] for r in spark.read.parquet(str(tmp_path / "protein_vectors")).collect()}
+    assert set(got) == {"P1", "P2"} and all(len(v) == 2 + 128 + 128 + 2 and abs(sum(x * x for x in v) - 1) < 1e-5 for v in got.values())
+
+
+def test_cohort_object(spark, tmp_path):
+    import datetime as dt
+
+    from cohortloom.cohort import Cohort
+
+    day = dt.date(2015, 1, 1)
+    index = spark.createDataFrame([(1, day, day, day, True), (2, day, None, None, False)], "person_id long, t0 date, t_6m date, t_12m date, has_12m_followup boolean")
+    feats = spark.createDataFrame([(1, day, 1.0, 0.0), (2, day, 0.0, 3.0)], "person_id long, t0 date, data_0 double, data_1 double")
+    c = Cohort(7, "x", index=index).with_features("representations", feats).with_prototypes()
+    assert (c.n_patients, c.n_with_12m, c.ingredient_concept_ids) == (2, 1, (7,)) and Cohort(-4).ingredient_concept_ids == ()
+    c.save(str(tmp_path / "c"))
+    back = Cohort.load(spark, str(tmp_path / "c"))
+    assert back.n_patients == 2 and back.outcomes is None and sorted(r["proto"] for r in back.prototypes.collect()) == [[0.0, 1.0], [1.0, 0.0]]
+    assert back.distance(c) == pytest.approx(0.0) and back.prediction_times("t_12m").count() == 1
+    with pytest.raises(ValueError):
+        Cohort(7).n_patients
+    with pytest.raises(ValueError):
+        Cohort(7, index=index).with_prototypes()
