@@ -54,9 +54,9 @@ def unpack(data: bytes, z: zstandard.ZstdDecompressor) -> np.ndarray:
 
 
 class PStable:
-    """Tables of ``width``-wide Gaussian projections of unit vectors, and a sign-free sketch of ``sketch`` bytes."""
+    """Tables of ``width``-wide Gaussian projections of unit vectors, and a sketch of ``sketch`` projections of 4 bits."""
 
-    def __init__(self, dim: int, tables: int, hashes: int, probes: int, width: float = 2.0, sketch: int = 256, seed: int = 11):
+    def __init__(self, dim: int, tables: int, hashes: int, probes: int, width: float = 2.0, sketch: int = 320, seed: int = 11):
         rng = np.random.default_rng([seed, dim])
         self.tables, self.hashes, self.probes, self.width = tables, hashes, probes if hashes else 0, width
         self.sketcher = (rng.standard_normal((dim, sketch)) / math.sqrt(sketch)).astype(np.float32)
@@ -69,9 +69,18 @@ class PStable:
         self.moves = singles + pairs
 
     def sketches(self, unit: np.ndarray) -> np.ndarray:
+        """Projections in 16 even steps of 0.335 standard deviations, two to a byte."""
         p = unit @ self.sketcher
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-        return np.clip(np.rint(p * (127 * math.sqrt(p.shape[1]) / 4)), -127, 127).astype(np.int8)
+        level = np.clip(np.floor(p * (math.sqrt(p.shape[1]) / 0.335)) + 8, 0, 15).astype(np.uint8)
+        return level[:, 0::2] | level[:, 1::2] << 4
+
+    @staticmethod
+    def directions(sketches: list[bytes]) -> np.ndarray:
+        """Unit vectors of sketches, up to their rounding."""
+        packed = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), -1)
+        x = np.concatenate([packed & 15, packed >> 4], 1).astype(np.float32) - 7.5
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def _key(self, table: int, slots: np.ndarray) -> np.ndarray:
         h = np.full(slots.shape[:-1], 0x9E3779B97F4A7C15 + table * 0x51ED27 & (1 << 63) - 1, np.uint64)
@@ -157,16 +166,11 @@ class BucketScorer:
         self.own: list[pd.DataFrame] = []
         self.entries: tuple[np.ndarray, np.ndarray] | None = None
 
-    @staticmethod
-    def _unit(g: pd.DataFrame) -> np.ndarray:
-        x = np.frombuffer(b"".join(g["sketch"]), np.int8).reshape(len(g), -1).astype(np.float32)
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
     def close(self) -> Iterator[pa.RecordBatch]:
         """All entries are there: they become queries too."""
         if self.entries is None and self.own:
             own = pd.concat(self.own, ignore_index=True)
-            self.entries = (self._unit(own), own["id"].to_numpy())
+            self.entries = (PStable.directions(own["sketch"].tolist()), own["id"].to_numpy())
             self.own = []
             yield from self.ask(own)
 
@@ -176,7 +180,7 @@ class BucketScorer:
         entry, entry_ids = self.entries
         for a in range(0, len(g), self.query_rows):
             q = g.iloc[a : a + self.query_rows]
-            unit, ids = self._unit(q), q["id"].to_numpy()
+            unit, ids = PStable.directions(q["sketch"].tolist()), q["id"].to_numpy()
             cands, ests = [], []
             for z in range(0, len(entry), self.entry_rows):
                 est = unit @ entry[z : z + self.entry_rows].T
