@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.dates import window_name
+from cohortloom.session import small
 
 #: Days after t0, both ends included, and the day each window aims at.
 WINDOWS = {"baseline": (-90, 0), "m6": (120, 240), "m12": (300, 420)}
@@ -16,7 +17,7 @@ def plausible(measurements: DataFrame, codebook: DataFrame) -> DataFrame:
     """(person_id, measurement_date, biomarker, val) inside the codebook's ranges."""
     book = codebook.select(F.col("concept_id").alias("measurement_concept_id"), "biomarker", "lo", "hi")
     return (
-        measurements.join(F.broadcast(book), "measurement_concept_id").where(F.col("value_as_number").between(F.col("lo"), F.col("hi")))
+        measurements.join(small(book), "measurement_concept_id").where(F.col("value_as_number").between(F.col("lo"), F.col("hi")))
         .select("person_id", "measurement_date", "biomarker", F.col("value_as_number").alias("val"))
     )
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from cohortloom.session import small
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300
@@ -96,7 +98,7 @@ def significance(outcomes: DataFrame, least: int = 30, alpha: float = 0.01) -> D
 def effect_table(outcomes: DataFrame, indications: DataFrame, least: int = 10) -> DataFrame:
     """Effect of both horizons for (drug_id, biomarker, unit) of ``indications``: baseline mean and sd, change with limits, effect size and p-values."""
     keys = ["drug_id", "biomarker", "unit", "horizon"]
-    rows = outcomes.join(F.broadcast(indications), ["drug_id", "biomarker"])
+    rows = outcomes.join(small(indications), ["drug_id", "biomarker"])
     long = rows.select("drug_id", "biomarker", "unit", "baseline_val", F.explode(F.array(F.struct(F.lit(6).alias("horizon"), F.col("delta_6m").alias("delta")), F.struct(F.lit(12).alias("horizon"), F.col("delta_12m").alias("delta")))).alias("x"))
     long = long.select("drug_id", "biomarker", "unit", "baseline_val", "x.*").where("delta is not null")
     base = long.groupBy(*keys).agg(F.avg("baseline_val").alias("baseline_mean"), F.stddev_samp("baseline_val").alias("baseline_sd"))
