@@ -11,7 +11,7 @@ from cohortloom.llm.mixing import mix, source_sizes, temperature_weights
 from cohortloom.llm.nearest_time import Target, nearest_in_time
 from cohortloom.llm.pii import find_personal, redact_personal
 from cohortloom.llm.similar import similar_pairs
-from cohortloom.session import cut, load
+from cohortloom.session import cut, load, small
 
 WINDOWS = [Target("baseline", "t0", 90, 0), Target("m6", "t_6m", 60, 60), Target("m12", "t_12m", 60, 60)]
 
@@ -42,7 +42,7 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     book = load(spark, d, "biomarker_codebook").select(F.col("concept_id").alias("measurement_concept_id"), "biomarker").distinct()
-    records = load(spark, d, "filtered_measurements").join(F.broadcast(book), "measurement_concept_id")
+    records = load(spark, d, "filtered_measurements").join(small(book), "measurement_concept_id")
     return nearest_in_time(load(spark, d, "stanford_index"), records, WINDOWS, item="drug_id", person="person_id", kind="biomarker", day="measurement_date", record="measurement_id")
 
 
