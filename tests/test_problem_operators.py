@@ -205,3 +205,13 @@ def test_forest_on_held_out_rows(spark):
     out = UnitForest.fit(fit, sample_rows=4000).predict(rest).withColumn("truth", settle(F.col("stated")))
     acc, sure = out.selectExpr("avg(cast(guess = truth as double))", "avg(case when confidence >= 0.9 then cast(guess = truth as double) end)").first()
     assert acc > 0.85 and sure > 0.93
+
+
+def test_units_of_biomarkers_without_reference(spark):
+    m = spark.createDataFrame([(1, 1, 100.0, None, None, 1), (2, 2, 6.0, "%", None, 1), (3, 1, None, None, "LDL 99 mg/dL", None), (4, 1, 50.0, "x" * 100_000, None, 1)], "measurement_id long, measurement_concept_id long, val double, unit_text string, value_text string, site_id int")
+    book = spark.createDataFrame([*BOOK, (3, None, None, None)], "concept_id long, biomarker string, lo double, hi double")
+    ref = spark.createDataFrame([u for u in UNITS if u[0] == "hba1c"], "biomarker string, unit_code string, factor double, shift double, is_common boolean")
+    got = {r["measurement_id"]: (r["unit_code"], r["needs_review"]) for r in convert_units(spark, m, book, ref).collect()}
+    assert got == {1: (None, True), 2: ("%", False), 3: (None, True), 4: (None, True)}
+    assert {r["unit_code"] for r in convert_units(spark, m, book, ref.limit(0)).collect()} == {None}
+    assert convert_units(spark, m, book.limit(0), ref).count() == 0
