@@ -10,7 +10,7 @@ from cohortloom.functions import dates as D
 from cohortloom.functions import ids as I
 from cohortloom.functions import text as T
 from cohortloom.functions import vectors as V
-from cohortloom.operators import audit, cache, catalog, cohorts, outcomes, pairs, representations, stats, targets, vocabulary
+from cohortloom.operators import audit, cache, catalog, cohorts, features, outcomes, pairs, representations, stats, targets, vocabulary
 from cohortloom.plans import proxies as X
 from cohortloom.session import load
 
@@ -531,8 +531,56 @@ def vector_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- protein features
+
+
+@query(
+    """WITH g AS (SELECT upper(p_brand) AS gene, arg_max(p_retailprice, p_partkey) AS a, CAST(arg_max(p_size, p_partkey) AS DOUBLE) AS b FROM part GROUP BY 1)
+SELECT CAST(p_partkey AS VARCHAR) AS uniprot_id, round(ln(1 + a), 6) AS liver, round(ln(1 + b), 6) AS lung FROM part JOIN g ON upper(p_brand) = gene"""
+)
+def feature_expression(spark: SparkSession, d: str) -> DataFrame:
+    p = load(spark, d, "part").withColumn("id", F.col("p_partkey").cast("string"))
+    lines = p.select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("line"), F.array("p_retailprice", F.col("p_size").cast("double")).alias("tpm"))
+    vocab = p.select(F.col("id").alias("concept_code"), F.concat("p_brand", F.lit(" protein")).alias("concept_name"))
+    out = features.expression_embeddings(lines, vocab, p.select(F.col("id").alias("uniprot_id")), 2)
+    return out.select("uniprot_id", F.round(F.get("gtex_embedding", F.lit(0)), 6).alias("liver"), F.round(F.get("gtex_embedding", F.lit(1)), 6).alias("lung"))
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("uniprot_id"))
+
+
+@query()
+def feature_pathways(spark: SparkSession, d: str) -> DataFrame:
+    """Truncated SVD of supplier by size of part; checked by its Gram matrix in the tests."""
+    sold = load(spark, d, "lineitem").join(load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    hits = sold.select(F.col("l_suppkey").cast("string").alias("uniprot_id"), F.col("p_size").cast("string").alias("pathway_id"), F.lit("Homo sapiens").alias("species"))
+    return features.pathway_embeddings(hits, _suppliers(spark, d), 8).select("uniprot_id", F.round(V.norm(F.col("reactome_embedding")), 6).alias("length"))
+
+
+@query()
+def feature_interactions(spark: SparkSession, d: str) -> DataFrame:
+    pairs_ = load(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("protein1"), F.concat(F.lit("s"), F.col("l_partkey") % 40).alias("protein2"), (F.col("l_quantity") * 20).cast("int").alias("combined_score"))
+    alias = _suppliers(spark, d).select(F.concat(F.lit("s"), "uniprot_id").alias("string_id"), F.col("uniprot_id").alias("alias"))
+    return features.interaction_embeddings(pairs_, alias, _suppliers(spark, d), 8).select("uniprot_id", F.round(V.norm(F.col("string_embedding")), 6).alias("length"))
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS uniprot_id, 80 AS dim, 1.0::DOUBLE AS length FROM embeddings")
+def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("uniprot_id"), "embedding")
+    other = e.select("uniprot_id", F.slice("embedding", 1, 16).alias("part"))
+    return features.assembled_vectors(e, other).select("uniprot_id", F.size("vp").alias("dim"), F.round(V.norm(F.col("vp")), 4).alias("length"))
+
+
 # ---------------------------------------------------------------- pairs of cohorts
 
+
+@query()
+def pair_prototypes(spark: SparkSession, d: str) -> DataFrame:
+    e = load(spark, d, "embeddings").select(F.col("label").cast("long").alias("drug_id"), F.col("vec_id").alias("person_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return pairs.prototypes(e).select("drug_id", "k_id", F.round(V.norm(F.col("proto")), 6).alias("length"))
+
+
 _FIRST = f"e AS ({X.EXPOSURE_SQL}), f AS (SELECT ingredient_id AS drug_id, person_id, min(exp_date) AS t0 FROM e GROUP BY 1, 2)"
 
 
