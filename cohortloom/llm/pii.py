@@ -92,25 +92,33 @@ class Tagger:
         x = np.concatenate([states[0], states[1, ::-1]], -1)
         return (x.reshape(-1, 2 * h) @ self.out + self.bias).reshape(t, b, LABELS).transpose(1, 0, 2)
 
-    def viterbi(self, score: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(B, T) best labels for emissions (B, T, LABELS), each row up to its length, from outside to outside."""
-        b, t, k = score.shape
-        best = score[:, 0] + self.first
-        back = np.zeros((t, b, k), np.int8)
-        rows = np.arange(b)
+    def viterbi(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """Best label path of each text's emissions (n, LABELS); the texts come in ascending length.
+
+        Labels lie in front of texts in memory. Only sums are kept on the way forth; which label came before is worked out on the way back, for one path a text.
+        """
+        length = np.array([len(x) for x in scores])
+        t, b, k = int(length.max()), len(scores), LABELS
+        sums = np.empty((t, k, b), np.float32)
+        for i, x in enumerate(scores):
+            sums[: len(x), :, i] = x
+        sums[0] += self.first[:, None]
+        live = np.searchsorted(length, np.arange(t), "right")
+        trans = self.trans[:, :, None]
         for s in range(1, t):
-            cand = best[:, :, None] + self.trans[None]
-            arg = cand.argmax(1)
-            new = np.take_along_axis(cand, arg[:, None], 1)[:, 0] + score[:, s]
-            on = (s < length)[:, None]
-            best = np.where(on, new, best)
-            back[s] = np.where(on, arg, np.arange(k))
-        path = np.zeros((b, t), np.int8)
-        at = best.argmax(1)
+            on = slice(int(live[s]), b)
+            sums[s, :, on] += (sums[s - 1, :, None, on] + trans).max(0)
+        path = np.zeros((t, b), np.int8)
+        last = np.arange(b)
+        at = sums[length - 1, :, last].argmax(1)
+        back = self.trans.T
         for s in range(t - 1, -1, -1):
-            path[:, s] = at
-            at = back[s, rows, at]
-        return path
+            on = slice(int(live[s]), b)
+            now = at[on]
+            path[s, on] = now
+            if s:
+                at[on] = (sums[s - 1, :, on] + back[now].T).argmax(0)
+        return [path[:n, i] for i, n in enumerate(length)]
 
     def text_scores(self, texts: list[str], window: int = 192, stride: int = 144, batch: int = 512) -> list[np.ndarray]:
         """Emissions of whole texts from overlapping windows."""
@@ -136,40 +144,28 @@ class Tagger:
                 weight[i][a:z] += w
         return [s / np.maximum(w, 1e-9) for s, w in zip(sums, weight)]
 
-    def spans(self, texts: list[str], sure: float = 9.0) -> list[list[tuple[int, int, int]]]:
-        """Per text the (start, end, kind) the network finds. Stretches that are outside by a margin of ``sure``
-        on every character, 8 at least, need no path; the rest is decoded."""
+    def spans(self, texts: list[str], cells: int = 400_000) -> list[list[tuple[int, int, int]]]:
+        """Per text the (start, end, kind) of the best path over the whole text; at most about ``cells`` characters are decoded at once."""
         scores = self.text_scores(texts)
+        order = sorted((i for i, s in enumerate(scores) if len(s)), key=lambda i: len(scores[i]))
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        pieces = []
-        for i, s in enumerate(scores):
-            if not len(s):
-                continue
-            open_ = s[:, 0] - s[:, 1:].max(1) < sure
-            at = np.flatnonzero(open_)
-            if not len(at):
-                continue
-            cuts = np.flatnonzero(np.diff(at) > 8)
-            for a, z in zip(np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(at) - 1]])):
-                pieces.append((i, max(0, at[a] - 2), min(len(s), at[z] + 3)))
-        pieces.sort(key=lambda p: p[2] - p[1])
-        for a in range(0, len(pieces), 256):
-            part = pieces[a : a + 256]
-            length = np.array([z - s for _, s, z in part])
-            em = np.zeros((len(part), length.max(), LABELS), np.float32)
-            for r, (i, s, z) in enumerate(part):
-                em[r, : z - s] = scores[i][s:z]
-            for (i, s, _), path, n in zip(part, self.viterbi(em, length), length):
-                start = kind = None
-                for p in range(n + 1):
-                    label = int(path[p]) if p < n else 0
-                    if start is not None and (label == 0 or label % 2 == 1 or (label - 1) // 2 != kind):
-                        out[i].append((s + start, s + p, kind))
-                        start = None
-                    if label and start is None:
-                        start, kind = p, (label - 1) // 2
-        for found in out:
-            found.sort()
+        at = 0
+        while at < len(order):
+            z = at + 1
+            while z < len(order) and z - at < 512 and (z - at + 1) * len(scores[order[z]]) <= cells:
+                z += 1
+            for i, path in zip(order[at:z], self.viterbi([scores[i] for i in order[at:z]])):
+                inside = path > 0
+                if not inside.any():
+                    continue
+                kind = (path - 1) // 2
+                before = np.concatenate([[-1], np.where(inside, kind, -1)[:-1]])
+                start = inside & ((path % 2 == 1) | (kind != before))
+                first = np.flatnonzero(start)
+                stop = np.flatnonzero(~inside | start)
+                ends = np.append(stop, len(path))[np.searchsorted(stop, first, "right")]
+                out[i] = [(int(a), int(e), int(kind[a])) for a, e in zip(first, ends)]
+            at = z
         return out
 
 
