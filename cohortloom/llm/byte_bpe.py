@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.session import spread
+
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 # Fixed value: the public split pattern of this vocabulary.
@@ -181,7 +183,7 @@ def encode_corpus(df: DataFrame, *, doc_id: str, text: str, path: str | None = N
     """Rows (<doc_id>, ids array<int>), or (<doc_id>, n_tokens long) with ``count_only``.
 
     One row per row of ``df``, repeated ones too; null ids stay null. Null and empty texts give an empty list.
-    Texts of any length are encoded whole. There is no shuffle; batches are kept small for long texts.
+    Texts of any length are encoded whole. There is no shuffle but where the input has fewer partitions than cores; batches are kept small for long texts.
     """
     file = path or rank_file()
     kind = df.schema[doc_id].dataType.simpleString()
@@ -196,4 +198,4 @@ def encode_corpus(df: DataFrame, *, doc_id: str, text: str, path: str | None = N
                 value = pa.array([len(x) for x in ids], pa.int64()) if count_only else pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys.slice(at, 256), value], [doc_id, "n_tokens" if count_only else "ids"])
 
-    return df.select(F.col(doc_id), F.col(text).cast("string")).mapInArrow(run, out)
+    return spread(df.select(F.col(doc_id), F.col(text).cast("string"))).mapInArrow(run, out)

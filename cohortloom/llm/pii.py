@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.session import spread
+
 KINDS = ("email", "phone", "id_number", "address", "person")
 #: Label 0 is outside; kind i begins with 2 i + 1 and goes on with 2 i + 2.
 LABELS = 2 * len(KINDS) + 1
@@ -274,14 +276,14 @@ def _run(df: DataFrame, doc_id: str, text: str, schema: str, make, path: str) ->
                 texts = [t or "" for t in piece.column(1).to_pylist()]
                 yield make(piece, texts, find(texts, path))
 
-    return df.select(F.col(doc_id), F.col(text).cast("string").alias("text")).mapInArrow(work, schema)
+    return spread(df.select(F.col(doc_id), F.col(text).cast("string").alias("text"))).mapInArrow(work, schema)
 
 
 def find_personal(df: DataFrame, *, doc_id: str, text: str, path: str = MODEL_FILE) -> DataFrame:
     """Rows (<doc_id>, pii_type, start_pos, end_pos), one per place; positions in code points from 1, end included.
 
     Null, empty and blank texts give no row; texts of any length are read whole; repeated rows give repeated
-    results; a null id stays null. There is no shuffle.
+    results; a null id stays null.
     """
     kind = df.schema[doc_id].dataType.simpleString()
 
