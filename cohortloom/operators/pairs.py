@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.config import Screening
-from cohortloom.functions import vectors as V
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, starts: int = 4) -> np.ndarray:
