@@ -7,6 +7,7 @@ by an exact check, which can only move or drop what the network found.
 
 from __future__ import annotations
 
+import io
 import os
 import re
 from collections.abc import Iterator
@@ -55,8 +56,9 @@ class Tagger:
     first: np.ndarray
 
     @classmethod
-    def load(cls, path: str = MODEL_FILE) -> Tagger:
-        with np.load(path) as z:
+    def load(cls, path: str | bytes = MODEL_FILE) -> Tagger:
+        """From a file, or from the bytes of one."""
+        with np.load(io.BytesIO(path) if isinstance(path, bytes) else path) as z:
             return cls(**{k: z[k].astype(np.float32) for k in ("table", "recur", "out", "bias", "trans", "first")})
 
     def save(self, path: str) -> None:
@@ -217,7 +219,7 @@ def snap(text: str, a: int, z: int, kind: int) -> tuple[int, int] | None:
     return a, z
 
 
-_TAGGERS: dict[str, Tagger] = {}
+_TAGGERS: dict[str | bytes, Tagger] = {}
 
 
 def _raw_spans(tagger: Tagger, texts: list[str], core: int = 100_000, margin: int = 1_000, load: int = 400_000) -> list[list[tuple[int, int, int]]]:
@@ -239,7 +241,7 @@ def _raw_spans(tagger: Tagger, texts: list[str], core: int = 100_000, margin: in
     return out
 
 
-def find(texts: list[str], path: str = MODEL_FILE) -> list[list[tuple[int, int, int]]]:
+def find(texts: list[str], path: str | bytes = MODEL_FILE) -> list[list[tuple[int, int, int]]]:
     """Per text the checked, non-overlapping (start, end, kind), in order."""
     if path not in _TAGGERS:
         _TAGGERS[path] = Tagger.load(path)
@@ -269,12 +271,15 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def _run(df: DataFrame, doc_id: str, text: str, schema: str, make, path: str) -> DataFrame:
+    with open(path, "rb") as f:
+        weights = f.read()  # some 100 kB, which go with the task: the executors need no file
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 piece = b.slice(at, 512)
                 texts = [t or "" for t in piece.column(1).to_pylist()]
-                yield make(piece, texts, find(texts, path))
+                yield make(piece, texts, find(texts, weights))
 
     return spread(df.select(F.col(doc_id), F.col(text).cast("string").alias("text"))).mapInArrow(work, schema)
 
