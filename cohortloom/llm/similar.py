@@ -1,15 +1,17 @@
 """The k most similar vectors of every vector: multiprobe p-stable hashing and exact reranking.
 
-1. One pass over the vectors gives, per vector, a key of its exact bytes, a short random-projection sketch and,
+1. One pass over the vectors gives, per vector, a key of its direction, a short random-projection sketch and,
    per hash table, its bucket and the perturbed buckets a query visits, in estimated success order.
-   Only one vector of each group of exact copies goes on.
+   Only one vector of each group of copies (equal vectors and exact multiples) goes on.
 2. Each bucket scores its queries against its entries by sketch; a query's candidates of all tables
    and probes are merged and the best estimates kept.
 3. Candidates name the cluster a vector belongs to (least label over a few hops). Each cluster is
    one task: it fetches its members and their further candidates once, ranks them by an
    exact product in single precision, and the best again by the cosine in double precision.
 
-Large buckets and clusters are worked off in blocks of bounded size; no candidate is dropped for that.
+Large buckets are cut into parts that each query visits. Large clusters are cut into parts too, and every pair of
+parts is one task, so each member is ranked against all others: hot groups cost the square of their size. Candidates
+by sketch are few (``candidates``); what is similar beyond them is found inside the cluster only.
 """
 
 from __future__ import annotations
@@ -117,8 +119,21 @@ class PStable:
         return out
 
 
+def direction_key(unit: np.ndarray) -> bytes:
+    """Key of a double precision unit vector at 12 decimals: equal for exact multiples, whose cosines with any vector are equal at 9 decimals."""
+    return hashlib.blake2b((np.round(unit, 12) + 0.0).tobytes(), digest_size=16).digest()
+
+
 def _top(score: np.ndarray, m: int) -> np.ndarray:
-    return np.argpartition(-score, m - 1, axis=1)[:, :m] if score.shape[1] > m else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    """Columns of the ``m`` largest scores of each row; of equal ones the first columns."""
+    if score.shape[1] <= m:
+        return np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+    worst = np.take_along_axis(score, top, 1).min(1)
+    for r in np.flatnonzero((score >= worst[:, None]).sum(1) > m):
+        over = np.flatnonzero(score[r] > worst[r])
+        top[r] = np.concatenate([over, np.flatnonzero(score[r] == worst[r])[: m - len(over)]])
+    return top
 
 
 def _slices(stream: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -158,6 +173,17 @@ def _groups(stream: Iterator[pa.RecordBatch], key: str) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
+def _cosines(x: np.ndarray, y: np.ndarray, rows: int = 1024) -> np.ndarray:
+    """Cosines of the rows of x with those of y in double precision, at 9 decimals."""
+    x = x.astype(np.float64)
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    out = np.empty((len(x), len(y)))
+    for a in range(0, len(y), rows):
+        part = y[a : a + rows].astype(np.float64)
+        out[:, a : a + rows] = x @ part.T / np.sqrt(np.einsum("ij,ij->i", part, part))
+    return np.round(out, 9)
+
+
 class BucketScorer:
     """Best entries by sketch for the queries of one bucket part: entries are held, queries stream by."""
 
@@ -252,8 +278,9 @@ def similar_pairs(
                 if not len(at):
                     continue
                 unit = rows.astype(np.float64)
-                unit = (unit / np.sqrt((unit**2).sum(1, keepdims=True))).astype(np.float32)
-                keys = [hashlib.blake2b(np.where(r == 0, np.float32(0), r).tobytes(), digest_size=16).digest() for r in rows]
+                unit /= np.sqrt((unit**2).sum(1, keepdims=True))
+                keys = [direction_key(u) for u in unit]
+                unit = unit.astype(np.float32)
                 codes = maker.buckets(unit).reshape(len(at), -1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(at), f, np.int32)), pa.array(ids[at]), pa.array(keys, pa.binary()),
@@ -304,8 +331,8 @@ def similar_pairs(
     lists = visits.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "guest", "id").mapInArrow(score, "f int, id long, cand array<long>, est array<float>")
     best = (
         lists.select("f", "id", F.explode(F.arrays_zip("cand", "est")).alias("x")).select("f", "id", "x.cand", "x.est")
-        .groupBy("f", "id").agg(F.slice(F.sort_array(F.collect_set(F.struct("est", "cand")), False), 1, candidates).alias("all"))
-        .select("f", "id", F.transform("all", lambda x: x["cand"]).alias("cand"), F.transform(F.filter("all", lambda x: x["est"] >= least), lambda x: x["cand"]).alias("sure"))
+        .groupBy("f", "id").agg(F.slice(F.sort_array(F.collect_set(F.struct((-F.col("est")).alias("far"), "cand"))), 1, candidates).alias("all"))
+        .select("f", "id", F.transform("all", lambda x: x["cand"]).alias("cand"), F.transform(F.filter("all", lambda x: x["far"] <= -least), lambda x: x["cand"]).alias("sure"))
     )
     best = cut(best)
     # clusters are joined by sure links only; doubtful ones would tie them together by chance
@@ -316,17 +343,31 @@ def similar_pairs(
         near = edges.join(label.select("f", F.col("id").alias("to"), "label"), ["f", "to"]).groupBy("f", "id").agg(F.min("label").alias("near"))
         label = label.join(near, ["f", "id"], "left").select("f", "id", F.least("label", F.coalesce("near", "label")).alias("label"))
         label = cut(label)
-    # a large cluster is cut by hash bucket, so that neighbours mostly stay together, and what is still too large by id
-    sized = label.groupBy("f", "label").agg(F.ceil(F.count("*") / team_rows).alias("parts"))
-    members = label.join(sized, ["f", "label"]).join(reps.select("f", "id", F.element_at("codes", 1).alias("code")), ["f", "id"])
-    members = members.withColumn("part", F.pmod(F.xxhash64("code"), F.col("parts")))
-    sized = members.groupBy("f", "label", "part").agg(F.ceil(F.count("*") / (2 * team_rows)).alias("again"))
-    members = members.join(sized, ["f", "label", "part"]).withColumn("rest", F.pmod(F.xxhash64("id"), F.col("again")))
-    members = cut(members.select("f", "id", F.xxhash64("f", "label", "part", "rest").alias("team")))
+    # a group that outgrows a task goes on until all that its links reach has one label
+    while n:
+        large = label.groupBy("f", "label").count().where(F.col("count") > 2 * team_rows).select("f", "label")
+        hot = label.join(large, ["f", "label"], "left_semi")
+        near = edges.join(hot.select("f", F.col("id").alias("to"), "label"), ["f", "to"]).unionByName(hot.select("f", "id", F.col("id").alias("to"), "label"))
+        # both ends of a link get the smaller label, and so does what has the larger one
+        moved = near.groupBy("f", "id").agg(F.min("label").alias("near")).join(label, ["f", "id"]).where(F.col("near") != F.col("label"))
+        moved = moved.select("f", F.greatest("label", "near").alias("label"), F.least("label", "near").alias("near")).groupBy("f", "label").agg(F.min("near").alias("near"))
+        moved = cut(moved)
+        if not moved.count():
+            break
+        label = cut(label.join(moved, ["f", "label"], "left").select("f", "id", F.coalesce("near", "label").alias("label")))
+    # a large cluster is cut by id; each pair of its parts is a team, where either side asks the other
+    sized = label.groupBy("f", "label").agg(F.ceil(F.count("*") / (2 * team_rows)).cast("int").alias("parts"))
+    members = label.join(sized, ["f", "label"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = cut(members.select("f", "id", "label", "part", "parts", F.xxhash64("f", "label", "part", "part").alias("team")))
+    crossed = (
+        members.where("parts > 1").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where(F.col("with") != F.col("part"))
+        .select("f", "id", F.xxhash64("f", "label", F.least("part", "with"), F.greatest("part", "with")).alias("team"), F.when(F.col("part") < F.col("with"), 2).otherwise(3).alias("asks"))
+    )
     asks = best.join(members, ["f", "id"])
     needs = (
-        asks.select("f", "id", "team", F.lit(True).alias("asks"))
-        .unionByName(asks.select("f", F.explode("cand").alias("id"), "team", F.lit(False).alias("asks")))
+        asks.select("f", "id", "team", F.lit(1).alias("asks"))
+        .unionByName(asks.select("f", F.explode("cand").alias("id"), "team", F.lit(0).alias("asks")))
+        .unionByName(crossed)
         .groupBy("f", "id", "team").agg(F.max("asks").alias("asks"))
         .groupBy("f", "id").agg(F.collect_list(F.struct("team", "asks")).alias("teams"))
     )
@@ -356,30 +397,39 @@ def similar_pairs(
             # the scale of a vector doesn't matter for its cosine, but for overflow it does
             unit = vec / np.abs(vec).max(1, keepdims=True)
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            ask = np.flatnonzero(asks)
-            for a in range(0, len(ask), 256):
-                q = ask[a : a + 256]
-                est = unit[q] @ unit.T
-                est[np.arange(len(q)), q] = -2
-                top = _top(est, min(k + 4, len(g) - 1))
-                # ties with the last kept one, as the later order is by double precision and id
-                worst = np.take_along_axis(est, top, 1).min(1)
-                out_q, out_c, out_s = [], [], []
-                for r, i in enumerate(q):
-                    c = np.flatnonzero(est[r] >= worst[r] - 1e-6)
-                    c = c[est[r, c] >= least - 1e-3]
-                    if not len(c):
-                        continue
-                    x, y = vec[i].astype(np.float64), vec[c].astype(np.float64)
-                    cos = np.round((y @ x) / (np.sqrt(x @ x) * np.sqrt(np.einsum("ij,ij->i", y, y))), 9)
-                    o = np.lexsort((ids[c], -cos))[: k + 1]
-                    o = o[cos[o] >= least]
-                    out_q.append(np.full(len(o), ids[i])), out_c.append(ids[c][o]), out_s.append(cos[o])
-                if out_q:
-                    m = sum(map(len, out_q))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(m, g["f"].iloc[0], np.int32)), pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_s))], ["f", "rep", "other", "cosine"])
+            # 1 asks all of the team, 2 and 3 are the sides of two parts and ask each other
+            for side, other in ((1, asks >= 0), (2, asks == 3), (3, asks == 2)):
+                ask, near = np.flatnonzero(asks == side), np.flatnonzero(other)
+                if not len(ask) or not len(near):
+                    continue
+                to = unit if len(near) == len(unit) else unit[near]
+                for a in range(0, len(ask), 256):
+                    q = ask[a : a + 256]
+                    est = unit[q] @ to.T
+                    if side == 1:
+                        est[np.arange(len(q)), q] = -2
+                    top = _top(est, max(1, min(k + 4, len(near) - (side == 1))))
+                    # ties with the last kept one, as the later order is by double precision and id
+                    worst = np.take_along_axis(est, top, 1).min(1)
+                    tied = (est >= worst[:, None] - 1e-6) & (est >= least - 1e-3)
+                    # many ties: the products of the whole block at once
+                    exact = _cosines(vec[q], vec[near]) if tied.sum() > 64 * len(q) else None
+                    out_q, out_c, out_s = [], [], []
+                    for r, i in enumerate(q):
+                        c = np.flatnonzero(tied[r])
+                        if not len(c):
+                            continue
+                        cos = _cosines(vec[i : i + 1], vec[near[c]])[0] if exact is None else exact[r, c]
+                        o = np.lexsort((ids[near[c]], -cos))[: k + 1]
+                        o = o[cos[o] >= least]
+                        out_q.append(np.full(len(o), ids[i])), out_c.append(ids[near[c]][o]), out_s.append(cos[o])
+                    if out_q:
+                        m = sum(map(len, out_q))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, g["f"].iloc[0], np.int32)), pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_c)), pa.array(np.concatenate(out_s))], ["f", "rep", "other", "cosine"])
 
     ranked = fetched.repartition("team").sortWithinPartitions("team").mapInArrow(rank, "f int, rep long, other long, cosine double")
+    # candidates in another part of a cut cluster come twice
+    ranked = ranked.groupBy("f", "rep", "other").agg(F.max("cosine").alias("cosine"))
     # from groups of copies back to items: the first k + 1 items of a group's list serve all its members
     spread = ranked.join(firsts.select("f", F.col("rep").alias("other"), F.col("firsts").alias("them")), ["f", "other"]).select("f", "rep", F.explode("them").alias("other"), "cosine")
     copies = firsts.where(F.size("firsts") > 1).select("f", "rep", F.explode("firsts").alias("other"), F.lit(1.0).alias("cosine"))

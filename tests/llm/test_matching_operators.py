@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from cohortloom.llm import queries
+from cohortloom.llm import queries, similar
 from cohortloom.llm.nearest_time import Target, nearest_in_time
 from cohortloom.llm.similar import PStable, pack, similar_pairs, unpack
 
@@ -107,6 +107,22 @@ def test_similar_edges(spark):
     assert found(similar_pairs(df.where("id >= 22 and id < 28"), item="id", fields={"v": 4})) == set()
 
 
+def test_similar_hot_group_of_a_third_in_cut_clusters(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(24)
+    rows = [(i + 1, (base + 0.4 * rng.standard_normal(24) if i % 3 == 0 else rng.standard_normal(24)).astype(np.float32).tolist()) for i in range(900)]
+    got = found(similar_pairs(spark.createDataFrame(rows, "id long, v array<float>"), item="id", fields={"v": 24}, team_rows=20, bucket_cap=400, per_bucket=2, candidates=3))
+    want = {p for p in brute(rows, 24, 5, 0.5) if p[0] % 3 == p[1] % 3 == 1}
+    assert len(got & want) / len(want) > 0.99
+
+
+def test_multiples_share_a_direction_and_ties_go_to_small_ids():
+    x = np.random.default_rng(5).integers(-9, 9, 40).astype(np.float32)
+    unit = [v / np.sqrt((v**2).sum()) for v in (x.astype(float), (3 * x).astype(float), (x + np.eye(40)[0]).astype(float))]
+    assert similar.direction_key(unit[0]) == similar.direction_key(unit[1]) != similar.direction_key(unit[2])
+    assert sorted(similar._top(np.array([[0.5, 0.9, 0.5, 0.5, 0.1]]), 3)[0]) == [0, 1, 2]
+
+
 def test_probes_come_in_order_of_success():
     rng = np.random.default_rng(0)
     maker = PStable(16, 1, 4, 6, seed=5)
