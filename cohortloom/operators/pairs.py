@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.config import Screening
+from cohortloom.session import cut
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, starts: int = 4) -> np.ndarray:
@@ -32,26 +35,80 @@ def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, starts: int
     return best
 
 
-def prototypes(points: DataFrame, k: int = 3, seed: int = 42, sample: int = 20_000) -> DataFrame:
+def prototypes(points: DataFrame, k: int = 3, seed: int = 42, sample: int = 20_000, rounds: int = 100) -> DataFrame:
     """(drug_id, k_id, proto): unit centres of each cohort's vectors; cohorts of at most ``k`` points stand for themselves.
 
-    ``points`` has drug_id, person_id, vec. A cohort's centres are fitted on at most ``sample`` of its points, drawn by hash of the person, so that no task
-    holds an unbounded cohort.
+    ``points`` has drug_id, person_id, vec. A cohort of at most ``sample`` points is fitted by one task. A larger one only starts
+    from the centres of about so many of its points, drawn by hash of the person; the rounds after that go over all of its points,
+    with sums and counts made where the points lie.
     """
+    sizes = cut(points.groupBy("drug_id").agg(F.count("*").alias("n")))
+    # each of 16 salts keeps its share of a large cohort, so a hot cohort is never sorted by one task
     w = Window.partitionBy("drug_id", "salt").orderBy("h")
-    # each of 16 salts keeps its share, so a hot cohort is never sorted by one task
-    some = (
-        points.withColumn("h", F.xxhash64("person_id")).withColumn("salt", F.pmod("h", F.lit(16)))
-        .withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample // 16).select("drug_id", "person_id", "vec")
-    )
+    large = sizes.where(F.col("n") > sample).select("drug_id")
+    whole = points.join(large, "drug_id", "left_anti").select("drug_id", "person_id", "vec")
+    fields = "drug_id long, k_id int, proto array<double>"
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf.sort_values("person_id")["vec"].to_numpy()).astype(float)
         c = x if len(x) <= k else kmeans(x, k, seed)
-        c = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-8)
         return pd.DataFrame({"drug_id": pdf["drug_id"].iloc[0], "k_id": np.arange(len(c), dtype=np.int32), "proto": list(c)})
 
-    return some.groupBy("drug_id").applyInPandas(fit, "drug_id long, k_id int, proto array<double>")
+    fitted = whole.groupBy("drug_id").applyInPandas(fit, fields)
+    if large.take(1):
+        hot = cut(points.join(large, "drug_id", "left_semi").select(F.col("drug_id").cast("long").alias("drug_id"), "person_id", "vec"))
+        some = (
+            hot.withColumn("h", F.xxhash64("person_id")).withColumn("salt", F.pmod("h", F.lit(16)))
+            .withColumn("r", F.row_number().over(w)).where(F.col("r") <= max(1, sample // 16)).select("drug_id", "person_id", "vec")
+        )
+        centres = {}
+        for r in some.groupBy("drug_id").applyInPandas(fit, fields).orderBy("drug_id", "k_id").collect():
+            centres.setdefault(r["drug_id"], []).append(r["proto"])
+        centres = {d: np.array(c) for d, c in centres.items()}
+        moving = dict(centres)
+        for _ in range(rounds):
+            moved = {d: c.copy() for d, c in moving.items()}
+            for d, i, n, total in _sums(hot, moving):
+                moved[d][i] = np.array(total) / n
+            centres |= moved
+            moving = {d: c for d, c in moved.items() if not np.allclose(c, moving[d])}
+            if not moving:
+                break
+        rows = [(d, i, x.tolist()) for d, c in centres.items() for i, x in enumerate(c)]
+        fitted = fitted.unionByName(points.sparkSession.createDataFrame(rows, fields))
+    length = F.sqrt(F.aggregate("proto", F.lit(0.0), lambda s, x: s + x * x))
+    return fitted.withColumn("length", F.greatest(length, F.lit(1e-8))).select("drug_id", "k_id", F.transform("proto", lambda x: x / F.col("length")).alias("proto"))
+
+
+def _sums(points: DataFrame, centres: dict[int, np.ndarray]) -> list[tuple[int, int, int, list[float]]]:
+    """(drug_id, k_id, count, sum of vectors) of the points nearest to each centre of the cohorts in ``centres``."""
+    sent = points.sparkSession.sparkContext.broadcast(centres)
+
+    def part(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, int], list] = {}
+        for pdf in stream:
+            for d, g in pdf.groupby("drug_id"):
+                c = sent.value.get(int(d))
+                if c is None:
+                    continue
+                x = np.stack(g["vec"].to_numpy()).astype(float)
+                near = np.stack([((x - y) ** 2).sum(1) for y in c], 1).argmin(1)
+                for i in np.unique(near):
+                    own = held.setdefault((int(d), int(i)), [0, 0.0])
+                    own[0] += int((near == i).sum())
+                    own[1] = own[1] + x[near == i].sum(0)
+        yield pd.DataFrame([(d, i, n, total.tolist()) for (d, i), (n, total) in held.items()], columns=["drug_id", "k_id", "n", "total"])
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.stack(pdf["total"].to_numpy())
+        # in a fixed order, so that the sum does not depend on the shuffle
+        total = total[np.lexsort(total.T)].sum(0)
+        return pd.DataFrame({"drug_id": pdf["drug_id"].iloc[:1], "k_id": pdf["k_id"].iloc[:1], "n": [pdf["n"].sum()], "total": [total.tolist()]})
+
+    fields = "drug_id long, k_id int, n long, total array<double>"
+    got = points.select("drug_id", "vec").mapInPandas(part, fields).groupBy("drug_id", "k_id").applyInPandas(added, fields).collect()
+    sent.unpersist()
+    return [tuple(r) for r in got]
 
 
 def cohort_distances(protos: DataFrame, block: int = 2000) -> DataFrame:

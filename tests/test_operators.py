@@ -151,6 +151,20 @@ def test_protein_features(spark):
     assert [r["uniprot_id"] for r in v] == ["A"] and np.allclose(v[0]["vp"], [0.6, 0.8])
 
 
+def test_prototypes_of_a_large_cohort_use_every_point(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (400, 3)) + [2, 0, 0]
+    x[::7, 1] += 30
+    points = spark.createDataFrame([(d, i, v.tolist()) for d, n in ((1, 400), (2, 30)) for i, v in enumerate(x[:n])], "drug_id long, person_id long, vec array<double>")
+    for k in (1, 2):
+        got = {(r["drug_id"], r["k_id"]): r["proto"] for r in pairs.prototypes(points, k=k, sample=64).collect()}
+        far = np.arange(400) % 7 == 0
+        for d, n in ((1, 400), (2, 30)):
+            groups = [x[:n]] if k == 1 else [x[:n][far[:n]], x[:n][~far[:n]]]
+            want = sorted((g.mean(0) / np.linalg.norm(g.mean(0))).tolist() for g in groups)
+            assert np.allclose(sorted(list(got[d, i]) for i in range(k)), want)
+
+
 def test_prototypes_and_pairs(spark):
     rng = np.random.default_rng(0)
     centres = {1: [[1, 0, 0]], 2: [[0.99, 0.05, 0], [0, 1, 0]], 3: [[0, 0, 1]]}
