@@ -15,7 +15,10 @@ READINGS = ["baseline_val", "m6_val", "m12_val"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    flags = flag_spikes(load(spark, d, "final_pairs"), record_id="pair_id", group_cols=["site_id", "biomarker"], fields=READINGS, log_scale=F.col("biomarker").isin("alt", "crp"))
+    flags = flag_spikes(
+        load(spark, d, "final_pairs"), record_id="pair_id", group_cols=["site_id", "biomarker"], fields=READINGS,
+        log_scale=F.col("biomarker").isin("alt", "crp"),
+    )
     return flags.select("pair_id", "val_field")
 
 
@@ -58,15 +61,18 @@ def _unpivoted() -> str:
     return " UNION ALL ".join(f"SELECT pair_id, site_id, biomarker, '{f}' AS val_field, {f} AS v FROM final_pairs" for f in READINGS)
 
 
+# a level is judged by its whole source here; a stretch is a run of readings, so nulls are left out before runs are formed
 P1 = f"""
 WITH r AS ({_unpivoted()}),
-l AS (SELECT *, CASE WHEN v > 0 THEN CASE WHEN biomarker IN ('alt', 'crp') THEN ln(v) ELSE v END END AS y FROM r),
+v AS (SELECT *, biomarker IN ('alt', 'crp') AS on_log FROM r WHERE v IS NOT NULL AND NOT isnan(v)),
+l AS (SELECT *, CASE WHEN v <= 0 THEN NULL WHEN on_log THEN ln(v) ELSE v END AS y FROM v),
 g AS (SELECT site_id, biomarker, median(y) AS m, 1.482602218505602 * mad(y) AS s FROM l GROUP BY ALL),
-t AS (SELECT *, row_number() OVER w AS i, lag(v) OVER w AS before FROM l WINDOW w AS (PARTITION BY site_id, biomarker, val_field ORDER BY pair_id)),
-u AS (SELECT *, sum(CASE WHEN v = before THEN 0 ELSE 1 END) OVER (PARTITION BY site_id, biomarker, val_field ORDER BY pair_id) AS run FROM t),
-k AS (SELECT *, count(v) OVER (PARTITION BY site_id, biomarker, val_field, run) AS n FROM u)
-SELECT pair_id, val_field FROM k JOIN g ON k.site_id IS NOT DISTINCT FROM g.site_id AND k.biomarker IS NOT DISTINCT FROM g.biomarker
-WHERE v <= 0 OR abs(y - m) > 5.65 * s OR (v IS NOT NULL AND n >= 6)
+i AS (SELECT *, row_number() OVER (PARTITION BY site_id, biomarker, val_field ORDER BY pair_id)
+             - row_number() OVER (PARTITION BY site_id, biomarker, val_field, v ORDER BY pair_id) AS island FROM l),
+k AS (SELECT *, count(*) OVER (PARTITION BY site_id, biomarker, val_field, v, island) AS n FROM i)
+SELECT pair_id, val_field FROM k
+JOIN g ON k.site_id IS NOT DISTINCT FROM g.site_id AND k.biomarker IS NOT DISTINCT FROM g.biomarker
+WHERE v <= 0 OR n >= 6 OR abs(y - m) > 5.65 * s
 """
 
 _DAY = "try_cast(nullif(regexp_extract({}, '^[ \\t]*(\\d{{4}}-\\d{{2}}-\\d{{2}})([ T]\\d{{1,2}}:\\d{{2}}(:\\d{{2}}(\\.\\d+)?)?)?[ \\t]*$', 1), '') AS DATE)"

@@ -49,9 +49,47 @@ def test_spikes_nulls_repeats_and_small_groups(spark):
     rows = [(1, None, None, 0.0, None, None, None, None), (None, 1, "ldl", -1.0, -1.0, None, None, None), (2, None, None, float("nan"), None, None, None, None), (3, 1, "ldl", 1e9, 2.0, None, None, None)]
     rows += [(10 + i, 7, "crp", 4.0, None, None, None, None) for i in range(5)] + [(15, 7, "crp", None, None, None, None, None)] + [(16 + i, 7, "crp", 4.0, None, None, None, None) for i in range(5)]
     df = spark.createDataFrame(rows, PAIR)
-    assert found(spikes(df)) == [(1, "a")]
+    stuck = [(i, "a") for i in [*range(10, 15), *range(16, 21)]]
+    assert found(spikes(df)) == [(1, "a"), *stuck]
     assert found(spikes(df.limit(0))) == []
-    assert found(spikes(df.where("pair_id >= 10"), min_run=5)) == [(i, "a") for i in [*range(10, 15), *range(16, 21)]]
+    assert found(spikes(df.where("pair_id >= 10"), min_run=10)) == stuck and found(spikes(df.where("pair_id >= 10"), min_run=11)) == []
+    assert found(spikes(df.where("pair_id >= 10"), min_run=10, block_rows=2, id_bin=2)) == stuck
+
+
+def test_stuck_over_nulls_and_many_blocks(spark):
+    """Runs of readings with nulls inside, over blocks that hold no reading of the field or one run only."""
+    rng = random.Random(9)
+    rows, v = [], 50.0
+    for i in range(1500):
+        if rng.random() < 0.25:
+            v = 40.0 + rng.randrange(200) / 10
+        gap = 300 <= i < 420 or rng.random() < 0.2
+        rows.append((i * 3, rng.choice([1, 2]), "ldl", None if gap else v, rng.gauss(50, 5), None, None, None))
+    want = set()
+    for s in (1, 2):
+        seq = [(r[0], r[3]) for r in rows if r[1] == s and r[3] is not None]
+        a = 0
+        for z in range(1, len(seq) + 1):
+            if z == len(seq) or seq[z][1] != seq[a][1]:
+                want |= {(p, "a") for p, _ in seq[a:z]} if z - a >= 6 else set()
+                a = z
+    df = spark.createDataFrame(rows, PAIR)
+    assert len(want) > 50
+    for kw in ({}, {"block_rows": 16, "id_bin": 8}, {"block_rows": 100, "id_bin": 64}):
+        assert {x for x in found(spikes(df, threshold=1e9, **kw))} == want
+
+
+def test_rolling_window_follows_a_drift(spark):
+    """A level that drifts: the far reading is normal for the whole source, but not for its neighbours; blocks don't matter."""
+    rng = random.Random(4)
+    rows = [(i, 1, "ldl", 100 + i / 10 + rng.gauss(0, 3), None, None, None, None) for i in range(4000)]
+    rows[200] = (200, 1, "ldl", 260.0, None, None, None, None)
+    rows[3900] = (3900, 1, "ldl", 350.0, None, None, None, None)
+    df = spark.createDataFrame(rows, PAIR)
+    want = [(200, "a"), (3900, "a")]
+    for kw in ({}, {"block_rows": 300, "id_bin": 128}, {"block_rows": 64, "id_bin": 32}):
+        assert found(spikes(df, reach=100, threshold=6.5, **kw)) == want
+    assert found(spikes(df, reach=4000, threshold=6.5)) == []
 
 
 def test_infinite_is_far(spark):
@@ -61,14 +99,17 @@ def test_infinite_is_far(spark):
 
 @given(st.lists(st.sampled_from([1.0, 2.0, math.nan]), max_size=40), st.integers(2, 7))
 def test_stuck_mask(values, least):
-    want = []
-    for i, v in enumerate(values):
+    there = [v for v in values if v == v]
+    marks = []
+    for i, v in enumerate(there):
         a = z = i
-        while a > 0 and values[a - 1] == v:
+        while a > 0 and there[a - 1] == v:
             a -= 1
-        while z + 1 < len(values) and values[z + 1] == v:
+        while z + 1 < len(there) and there[z + 1] == v:
             z += 1
-        want.append(v == v and z - a + 1 >= least)
+        marks.append(z - a + 1 >= least)
+    left = iter(marks)
+    want = [v == v and next(left) for v in values]
     assert stuck_mask(np.array(values, float), least).tolist() == want
 
 
