@@ -24,12 +24,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def make_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, whatever their working folder."""
+    """Let Python workers import this package from where the driver has it, whatever their working folder.
+
+    Spark runs a worker for every core, so matrix products inside one must not take the cores of the others.
+    """
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, here])
+    env.setdefault("OPENBLAS_NUM_THREADS", "1")
 
 
 def cut(df: DataFrame) -> DataFrame:
