@@ -2,11 +2,12 @@
 
 ``python -m cohortloom.llm.pii_train DOCUMENTS.parquet OUT.npz [SECONDS]``
 
-The labels are distant ones: names are learned from the phrases that introduce persons in the documents
-and then marked wherever they stand as a full name or after a title; numbers are marked by the words
-before them or by their national form, addresses by the towns of introduced addresses. The sample is bounded
-(``MOST_DOCUMENTS``). In training, digits, names and streets are replaced at random, so that the network
-learns contexts and shapes rather than the lists.
+Half of the training texts are made up (``pii_synth``), with spans known by construction. The other half are documents with
+distant labels: names are learned from the phrases that introduce persons and then marked wherever they
+stand as a full name or after a title; numbers are marked by the words before them or by their national form,
+addresses by the towns of introduced addresses. In each round most labelled spans of documents are replaced by made-up
+ones of their kind, so that the network learns contexts and shapes rather than the documents' lists. The sample
+is bounded (``MOST_DOCUMENTS``). Gradients of the parts of a batch are worked out by several processes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from collections import Counter
 
 import numpy as np
 
-from cohortloom.llm.pii import EMAIL, KINDS, LABELS, SIZE, Tagger, encode_chars
+from cohortloom.llm.pii import EMAIL, FRAME, KINDS, LABELS, SIZE, Tagger, encode_chars
+from cohortloom.llm.pii_synth import Maker
 
 MOST_DOCUMENTS = 20_000
 
@@ -103,62 +105,73 @@ class Labeller:
         return sorted(out)
 
 
-def windows(texts: list[str], spans: list[list[tuple[int, int, int]]], size: int, rng: np.random.Generator) -> tuple[list[str], list[np.ndarray]]:
+def renew(text: str, spans: list[tuple[int, int, int]], maker: Maker, share: float = 0.6) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with a share of its spans replaced by made-up ones of their kind."""
+    parts, out, at, size = [], [], 0, 0
+    for a, z, k in spans:
+        got = text[a:z]
+        if maker.chance(share):
+            name = KINDS[k]
+            alone = name == "person" and " " not in got
+            got = maker.titled() if alone else {"person": maker.person, "email": maker.email, "phone": maker.phone, "id_number": maker.ident, "address": maker.address}[name]()
+        parts += [text[at:a], got]
+        size += a - at
+        out.append((size, size + len(got), k))
+        size += len(got)
+        at = z
+    return "".join([*parts, text[at:]]), out
+
+
+def windows(texts: list[str], spans: list[list[tuple[int, int, int]]], size: int, rng: np.random.Generator) -> list[tuple[str, np.ndarray]]:
     """Training windows: all that hold a label, and as many without."""
     good, bad = [], []
     for t, sp in zip(texts, spans):
         lab = np.zeros(len(t), np.int8)
         for a, z, k in sp:
             lab[a], lab[a + 1 : z] = 2 * k + 1, 2 * k + 2
-        off = int(rng.integers(0, size // 2))
-        for a in range(-off, len(t), size // 2):
+        off = int(rng.integers(0, size))
+        for a in range(-off, len(t), size):
+            z = a + size
             a = max(a, 0)
-            w = lab[a : a + size]
-            if len(w) < 12 or (w[0] and w[0] % 2 == 0):
+            w = lab[a:z]
+            if len(w) < 8 or (w[0] and w[0] % 2 == 0):
                 continue
-            (good if w.any() else bad).append((t[a : a + size], w))
+            (good if w.any() else bad).append((t[a:z], w))
     keep = rng.permutation(len(bad))[: len(good)]
-    both = good + [bad[i] for i in keep]
-    return [b[0] for b in both], [b[1] for b in both]
-
-
-_VOWELS = "aeiou"
-_CONSONANTS = "bcdfghjklmnpqrstvwxyz"
-
-
-def shuffle_text(text: str, lab: np.ndarray, rng: np.random.Generator) -> str:
-    """Random digits, names, streets and case of a window; lengths and labels stay."""
-    chars = list(text)
-    if rng.random() < 0.5:
-        for i, c in enumerate(chars):
-            if "0" <= c <= "9" and rng.random() < 0.7:
-                chars[i] = chr(48 + int(rng.integers(0, 10)))
-    kinds = {k for k, p in (("person", 0.4), ("email", 0.3), ("address", 0.3)) if rng.random() < p}
-    for k in kinds:
-        at = np.flatnonzero((lab == 2 * KINDS.index(k) + 1) | (lab == 2 * KINDS.index(k) + 2))
-        for i in at:
-            c = chars[i]
-            low = c.lower()
-            if not (("a" <= low <= "z") and rng.random() < 0.6):
-                continue
-            if k == "email" and "".join(chars[max(0, i - 2) : i + 3]).lower().strip(" []().@") in ("at", "dot", "do", "ot"):
-                continue
-            pool = _VOWELS if low in _VOWELS else _CONSONANTS
-            new = pool[int(rng.integers(0, len(pool)))]
-            chars[i] = new.upper() if c.isupper() else new
-    out = "".join(chars)
-    r = rng.random()
-    return out.upper() if r < 0.02 and len(out.upper()) == len(out) else out.lower() if r < 0.05 and len(out.lower()) == len(out) else out
-
-
-def init(hidden: int, rng: np.random.Generator) -> Tagger:
-    table = rng.normal(0, 0.08, (2, SIZE, 4 * hidden)).astype(np.float32)
-    table[:, :, hidden : 2 * hidden] += 1.0  # forget gates start open
-    table[:, 0] = 0
-    return Tagger(
-        table, rng.normal(0, 1 / np.sqrt(hidden), (2, hidden, 4 * hidden)).astype(np.float32) * 0.6, rng.normal(0, 1 / np.sqrt(2 * hidden), (2 * hidden, LABELS)).astype(np.float32),
-        np.zeros(LABELS, np.float32), np.zeros((LABELS, LABELS), np.float32), np.zeros(LABELS, np.float32),
+    return good + [bad[i] for i in keep]
+
+
+def round_of(texts: list[str], spans: list[list[tuple[int, int, int]]], size: int, rng: np.random.Generator) -> list[tuple[str, np.ndarray]]:
+    """One round's windows: documents with renewed spans, and made-up passages of about the same number of windows."""
+    maker = Maker(rng)
+    fresh = [renew(t, sp, maker) if maker.chance(0.75) else (t, sp) for t, sp in zip(texts, spans)]
+    out = windows([f[0] for f in fresh], [f[1] for f in fresh], size, rng)
+    made, goal = [], len(out)
+    while len(made) < goal:
+        t, sp = maker.passage()
+        made += windows([t], [[(a, z, KINDS.index(k)) for a, z, k in sp]], size, rng)
+    out += made
+    shuffled = []
+    for t, lab in out:
+        r = rng.random()
+        if r < 0.03 and len(t.upper()) == len(t):
+            t = t.upper()
+        elif r < 0.06 and len(t.lower()) == len(t):
+            t = t.lower()
+        shuffled.append((t, lab))
+    return [shuffled[i] for i in rng.permutation(len(shuffled))]
+
+
+def init(hidden: int, width: int, rng: np.random.Generator) -> Tagger:
+    f = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
+    gate = np.zeros((2, 4 * hidden), np.float32)
+    gate[:, hidden : 2 * hidden] = 1.0  # forget gates start open
+    m = Tagger(
+        f(SIZE, width, scale=0.5), f(2, FRAME * width, 4 * hidden, scale=0.8 / np.sqrt(FRAME * width)), f(2, hidden, 4 * hidden, scale=0.6 / np.sqrt(hidden)), gate,
+        f(2 * hidden, FRAME * LABELS, scale=1 / np.sqrt(2 * hidden)), np.zeros(FRAME * LABELS, np.float32), np.zeros((LABELS, LABELS), np.float32), np.zeros(LABELS, np.float32),
     )
+    m.embed[0] = 0
+    return m
 
 
 def crf_gradient(em: np.ndarray, gold: np.ndarray, length: np.ndarray, trans: np.ndarray, first: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,34 +223,44 @@ def crf_gradient(em: np.ndarray, gold: np.ndarray, length: np.ndarray, trans: np
     return float((log_z - score).mean()), d_em / b, d_trans / b, d_first / b
 
 
-def step(m: Tagger, ids: np.ndarray, gold: np.ndarray, length: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients of one batch, by backpropagation through time."""
+def own_gradient(em: np.ndarray, gold: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Gradient of the cross entropy of each character on its own; it keeps labels apart where no lawful path leads to them."""
+    p = np.exp(em - em.max(2, keepdims=True))
+    p /= p.sum(2, keepdims=True)
+    np.put_along_axis(p, gold[:, :, None], np.take_along_axis(p, gold[:, :, None], 2) - 1, 2)
+    return p * (np.arange(em.shape[1])[None, :, None] < length[:, None, None]) / len(em)
+
+
+def step(m: Tagger, ids: np.ndarray, gold: np.ndarray, length: np.ndarray, alone: float = 0.25) -> tuple[float, dict[str, np.ndarray]]:
+    """Loss of the CRF and gradients of one batch, by backpropagation through time; ``alone`` weighs what each character adds on its own."""
     b, t = ids.shape
-    h = m.recur.shape[1]
-    both = np.stack([ids, ids[:, ::-1]])
-    live = (both != 0).astype(np.float32)
-    acts, cells, hids = np.empty((t, 2, b, 4 * h), np.float32), np.zeros((t + 1, 2, b, h), np.float32), np.zeros((t + 1, 2, b, h), np.float32)
-    for s in range(t):
-        a = np.matmul(hids[s], m.recur)
-        a[0] += m.table[0][both[0, :, s]]
-        a[1] += m.table[1][both[1, :, s]]
+    n, h, width = t // FRAME, m.recur.shape[1], m.embed.shape[1]
+    codes = ids.reshape(b, n, FRAME).transpose(1, 0, 2)
+    x = m.embed[codes].reshape(n, b, FRAME * width)
+    frames = -(-length // FRAME)
+    live = (np.arange(n)[:, None] < frames[None, :]).astype(np.float32)
+    both, live = np.stack([x, x[::-1]], 1), np.stack([live, live[::-1]], 1)
+    gates = np.matmul(both, m.into[None]) + m.gate[None, :, None]
+    acts, cells, hids = np.empty((n, 2, b, 4 * h), np.float32), np.zeros((n + 1, 2, b, h), np.float32), np.zeros((n + 1, 2, b, h), np.float32)
+    for s in range(n):
+        a = np.matmul(hids[s], m.recur) + gates[s]
         a[..., : 3 * h] = 0.5 * np.tanh(0.5 * a[..., : 3 * h]) + 0.5
         a[..., 3 * h :] = np.tanh(a[..., 3 * h :])
         acts[s] = a
-        on = live[:, :, s][..., None]
+        on = live[s][..., None]
         cells[s + 1] = (a[..., h : 2 * h] * cells[s] + a[..., :h] * a[..., 3 * h :]) * on
         hids[s + 1] = a[..., 2 * h : 3 * h] * np.tanh(cells[s + 1]) * on
-    x = np.concatenate([hids[1:, 0], hids[1:, 1][::-1]], -1)
-    em = (x.reshape(-1, 2 * h) @ m.out + m.bias).reshape(t, b, LABELS).transpose(1, 0, 2)
+    y = np.concatenate([hids[1:, 0], hids[1:, 1][::-1]], -1).reshape(n * b, 2 * h)
+    em = (y @ m.out + m.bias).reshape(n, b, FRAME, LABELS).transpose(1, 0, 2, 3).reshape(b, t, LABELS)
     loss, d_em, d_trans, d_first = crf_gradient(em, gold, length, m.trans, m.first)
-    flat = d_em.transpose(1, 0, 2).reshape(-1, LABELS)
-    d_x = (flat @ m.out.T).reshape(t, b, 2 * h)
-    d_h = np.stack([d_x[..., :h], d_x[::-1, :, h:]], 1)
-    g_table, g_recur = np.zeros_like(m.table), np.zeros_like(m.recur)
+    d_em += alone * own_gradient(em, gold, length)
+    flat = np.ascontiguousarray(d_em.reshape(b, n, FRAME * LABELS).transpose(1, 0, 2)).reshape(n * b, FRAME * LABELS)
+    d_y = (flat @ m.out.T).reshape(n, b, 2 * h)
+    d_h = np.stack([d_y[..., :h], d_y[::-1, :, h:]], 1)
     dh, dc = np.zeros((2, b, h), np.float32), np.zeros((2, b, h), np.float32)
-    d_a = np.empty((t, 2, b, 4 * h), np.float32)
-    for s in range(t - 1, -1, -1):
-        a, on = acts[s], live[:, :, s][..., None]
+    d_a = np.empty((n, 2, b, 4 * h), np.float32)
+    for s in range(n - 1, -1, -1):
+        a, on = acts[s], live[s][..., None]
         i, f, o, g = (a[..., k * h : (k + 1) * h] for k in range(4))
         tc = np.tanh(cells[s + 1])
         dh = (dh + d_h[s]) * on
@@ -249,57 +272,99 @@ def step(m: Tagger, ids: np.ndarray, gold: np.ndarray, length: np.ndarray) -> tu
         da[..., 3 * h :] = dc * i * (1 - g * g)
         dc = dc * f
         dh = np.matmul(da, m.recur.transpose(0, 2, 1))
+    g_into, g_recur, d_x = np.empty_like(m.into), np.empty_like(m.recur), np.zeros((n * b, FRAME * width), np.float32)
     for d in range(2):
         da = d_a[:, d].reshape(-1, 4 * h)
         g_recur[d] = hids[:-1, d].reshape(-1, h).T @ da
-        code = both[d].T.ravel()
-        order = np.argsort(code, kind="stable")
-        codes, starts = np.unique(code[order], return_index=True)
-        g_table[d][codes] = np.add.reduceat(da[order], starts, axis=0)
-        g_table[d][0] = 0
-    grads = {"table": g_table, "recur": g_recur, "out": x.reshape(-1, 2 * h).T @ flat, "bias": flat.sum(0), "trans": d_trans, "first": d_first}
+        g_into[d] = both[:, d].reshape(-1, FRAME * width).T @ da
+        back = (da @ m.into[d].T).reshape(n, b, -1)
+        d_x += (back if d == 0 else back[::-1]).reshape(n * b, -1)
+    hot = np.zeros((n * b * FRAME, SIZE), np.float32)
+    hot[np.arange(len(hot)), codes.ravel()] = 1
+    g_embed = hot.T @ d_x.reshape(-1, width)
+    g_embed[0] = 0
+    grads = {"embed": g_embed, "into": g_into, "recur": g_recur, "gate": d_a.sum((0, 2)), "out": y.T @ flat, "bias": flat.sum(0), "trans": d_trans, "first": d_first}
     return loss, grads
 
 
-def train(texts: list[str], *, hidden: int = 48, size: int = 160, batch: int = 48, seconds: float = 600, rate: float = 4e-3, seed: int = 3, say=print) -> Tagger:
+class Team:
+    """Processes that work out gradients side by side; weights and gradients lie in shared memory."""
+
+    def __init__(self, m: Tagger, workers: int, texts, spans, size: int, batch: int, seed: int):
+        import multiprocessing as mp
+
+        ctx = mp.get_context("fork")
+        self.shapes = {k: v.shape for k, v in vars(m).items()}
+        total = sum(int(np.prod(s)) for s in self.shapes.values())
+        self.weights = np.frombuffer(ctx.RawArray("f", total), np.float32)
+        self.grads = np.frombuffer(ctx.RawArray("f", total * workers), np.float32).reshape(workers, total)
+        self.losses = np.frombuffer(ctx.RawArray("f", workers), np.float32)
+        self.ready, self.done = ctx.Barrier(workers + 1), ctx.Barrier(workers + 1)
+        self.jobs = [ctx.Process(target=self.work, args=(w, texts[w::workers], spans[w::workers], size, batch, seed), daemon=True) for w in range(workers)]
+        for j in self.jobs:
+            j.start()
+
+    def split(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k, s in self.shapes.items():
+            n = int(np.prod(s))
+            out[k] = flat[at : at + n].reshape(s)
+            at += n
+        return out
+
+    def work(self, w: int, texts, spans, size: int, batch: int, seed: int) -> None:
+        rng = np.random.default_rng([seed, w])
+        m, grads = Tagger(**self.split(self.weights)), self.split(self.grads[w])
+        queue: list[tuple[str, np.ndarray]] = []
+        while True:
+            if len(queue) < batch:
+                queue += round_of(texts, spans, size, rng)
+            pick, queue = queue[:batch], queue[batch:]
+            ids, gold = np.zeros((batch, size), np.uint8), np.zeros((batch, size), np.int64)
+            length = np.array([len(lab) for _, lab in pick])
+            for r, (t, lab) in enumerate(pick):
+                ids[r, : length[r]] = encode_chars(t)
+                gold[r, : length[r]] = lab
+            self.ready.wait()
+            self.losses[w], got = step(m, ids, gold, length)
+            for k, g in got.items():
+                grads[k][...] = g
+            self.done.wait()
+
+    def close(self) -> None:
+        for j in self.jobs:
+            j.kill()
+
+
+def train(texts: list[str], *, hidden: int = 48, width: int = 12, size: int = 192, batch: int = 32, workers: int = 8, seconds: float = 600, rate: float = 5e-3, seed: int = 3, say=print) -> Tagger:
     """Tagger trained on at most MOST_DOCUMENTS distinct texts for about ``seconds``; Adam with a falling rate."""
     rng = np.random.default_rng(seed)
     texts = list(dict.fromkeys(texts))[:MOST_DOCUMENTS]
     labeller = Labeller(texts)
     spans = [labeller.spans(t) for t in texts]
-    m = init(hidden, rng)
-    mom = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in vars(m).items()}
-    began, n, epoch, shown = time.time(), 0, 0, 0.0
-    while time.time() - began < seconds:
-        parts, labs = windows(texts, spans, size, rng)
-        order = rng.permutation(len(parts))
-        epoch += 1
-        for at in range(0, len(order), batch):
-            pick = order[at : at + batch]
-            ids, gold = np.zeros((len(pick), size), np.uint8), np.zeros((len(pick), size), np.int64)
-            length = np.array([len(labs[i]) for i in pick])
-            for r, i in enumerate(pick):
-                ids[r, : length[r]] = encode_chars(shuffle_text(parts[i], labs[i], rng))
-                gold[r, : length[r]] = labs[i]
-            loss, grads = step(m, ids, gold, length)
-            n += 1
-            done = min(1.0, (time.time() - began) / seconds)
-            lr = rate * min(1.0, n / 100) * (0.02 + 0.98 * (1 - done) ** 1.2)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            clip = min(1.0, 5.0 / max(norm, 1e-9))
-            for k, g in grads.items():
-                g = g * clip
-                m1, m2 = mom[k]
-                m1 += 0.1 * (g - m1)
-                m2 += 0.005 * (g * g - m2)
-                vars(m)[k] -= (lr * (m1 / (1 - 0.9**n)) / (np.sqrt(m2 / (1 - 0.995**n)) + 1e-7)).astype(np.float32)
-            shown += loss
-            if n % 100 == 0:
-                say(f"{time.time() - began:.0f} s, epoch {epoch}, step {n}, loss {shown / 100:.3f}", flush=True)
-                shown = 0.0
-            if done >= 1.0:
-                break
-    return m
+    start = init(hidden, width, rng)
+    team = Team(start, workers, texts, spans, size, batch, seed)
+    flat = team.weights
+    flat[:] = np.concatenate([v.ravel() for v in vars(start).values()])
+    m1, m2 = np.zeros_like(flat), np.zeros_like(flat)
+    began, n, shown, done = time.time(), 0, 0.0, 0.0
+    while done < 1.0:
+        team.ready.wait()
+        team.done.wait()
+        n += 1
+        g = team.grads.mean(0)
+        done = min(1.0, (time.time() - began) / seconds)
+        g *= min(1.0, 5.0 / max(float(np.linalg.norm(g)), 1e-9))
+        m1 += 0.1 * (g - m1)
+        m2 += 0.005 * (g * g - m2)
+        lr = rate * min(1.0, n / 200) * (0.01 + 0.99 * (1 - done) ** 1.2)
+        flat -= lr * (m1 / (1 - 0.9**n)) / (np.sqrt(m2 / (1 - 0.995**n)) + 1e-7)
+        shown += float(team.losses.mean())
+        if n % 200 == 0:
+            say(f"{time.time() - began:.0f} s, step {n}, loss {shown / 200:.3f}", flush=True)
+            shown = 0.0
+    team.close()
+    return Tagger(**{k: v.copy() for k, v in team.split(flat).items()})
 
 
 def score(found: list[list[tuple[int, int, int]]], truth: list[list[tuple[int, int, int]]]) -> dict[str, tuple[float, float, int]]:
