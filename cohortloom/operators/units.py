@@ -1,18 +1,22 @@
 """Measurements in different units, brought to the common unit of their biomarker.
 
-A stated unit is read from the unit column or the text. Missing ones are predicted by a calibrated forest
-from the value's size, the source, the biomarker and what the source states elsewhere; an exact check
-against the source's usual unit and the possible range follows, and what the two do not agree on, or
-what the forest is not sure of, is marked for review.
+A stated unit is read from the unit column or the text. A missing one is predicted by a calibrated forest from
+the value's size, the source, the biomarker, the ranges in which the value is possible and what the source states
+elsewhere. A confident prediction decides; the others get the unit the source states most often, corrected by
+the possible range, and are marked for review.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cohortloom.session import cut, small, spread
 
@@ -29,12 +33,27 @@ SPELLINGS = [
 NUMBER = r"(?<![\w/{.,])(?<!per )([-+]?\d+(?:[.,]\d+)?)"
 
 
-def unit_key(text: Column) -> Column:
-    """One spelling of a unit text, to be compared with the unit codes in the same spelling."""
-    out = F.lower(text)
+_KEYS: dict[str, str | None] = {}
+
+
+def spelling(text: str) -> str | None:
+    """One spelling of a unit text, to be compared with the unit codes in the same spelling; None for a blank one."""
+    out = text.lower()
     for pattern, by in SPELLINGS:
-        out = F.regexp_replace(out, pattern, by)
-    return F.when(out != "", out)
+        out = re.sub(pattern, by, out)
+    return out or None
+
+
+@F.pandas_udf(StringType())
+def unit_key(text: pd.Series) -> pd.Series:
+    """``spelling`` of each text; the texts of units are few, and each is worked out once a process."""
+    codes, texts = pd.factorize(text)
+    if len(_KEYS) > 200_000:
+        _KEYS.clear()
+    for t in texts:
+        if t not in _KEYS:
+            _KEYS[t] = spelling(t)
+    return pd.Series([None if c < 0 else _KEYS[texts[c]] for c in codes], dtype=object)
 
 
 def _bare(text: Column) -> Column:
@@ -53,23 +72,21 @@ def unit_in(text: Column) -> Column:
     return F.coalesce(*[F.when(F.regexp_extract(t, p, p.count("(") - p.count("(?")) != "", F.regexp_extract(t, p, p.count("(") - p.count("(?"))) for t, p in tries])
 
 
-def stated_units(meas: DataFrame, codebook: DataFrame, reference: DataFrame) -> DataFrame:
-    """Rows with a codebook concept and a number: value, stated unit (or null) and its origin.
-
-    The codebook and the list of units are broadcast while they are small.
-    """
-    units = reference.groupBy("biomarker").agg(
-        F.sort_array(F.collect_list(F.struct("unit_code", "factor", "shift", "is_common", unit_key(F.col("unit_code")).alias("key")))).alias("units")
+def unit_book(codebook: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per concept: biomarker, possible range and the units of the biomarker in a fixed order."""
+    units = reference.withColumn("key", unit_key(F.col("unit_code"))).groupBy("biomarker").agg(
+        F.sort_array(F.collect_list(F.struct("unit_code", "factor", "shift", "is_common", "key"))).alias("units")
     )
     # cut, so that the keys are not worked out again for every measurement
-    book = cut(codebook.select("concept_id", "biomarker", "lo", "hi").join(units, "biomarker", "left").select(F.col("concept_id").alias("measurement_concept_id"), "biomarker", "lo", "hi", "units"))
+    return cut(codebook.select("concept_id", "biomarker", "lo", "hi").join(units, "biomarker", "left").withColumnRenamed("concept_id", "measurement_concept_id"))
+
+
+def stated_units(meas: DataFrame, book: DataFrame) -> DataFrame:
+    """Rows with a concept of the book and a number: id, concept, source, value, slot of the stated unit (or null) and its origin."""
     number = F.coalesce(F.when(~F.isnan("val"), F.col("val")), number_in(F.col("value_text")))
     read = spread(meas.select("measurement_id", "measurement_concept_id", "val", "unit_text", "value_text", "site_id")).select(
         "measurement_id", "measurement_concept_id", "site_id", number.alias("value"), F.col("unit_text").alias("text1"), unit_in(F.col("value_text")).alias("text2")
     )
-    # texts of units are few: each is brought to one spelling once, not in every row
-    forms = read.select(F.explode(F.array("text1", "text2")).alias("text")).where("text is not null").distinct()
-    forms = small(cut(forms.withColumn("key", unit_key(F.col("text")))))
 
     def slot(key: str) -> Column:
         at = F.array_position(F.col("units.key"), F.col(key))
@@ -77,13 +94,11 @@ def stated_units(meas: DataFrame, codebook: DataFrame, reference: DataFrame) ->
 
     return (
         read.where("value is not null")
-        .join(small(book), "measurement_concept_id")
-        .join(forms.withColumnsRenamed({"text": "text1", "key": "k1"}), "text1", "left")
-        .join(forms.withColumnsRenamed({"text": "text2", "key": "k2"}), "text2", "left")
+        .join(small(book.select("measurement_concept_id", "units")), "measurement_concept_id")
+        .withColumn("k1", unit_key(F.col("text1"))).withColumn("k2", unit_key(F.col("text2")))
         .withColumn("s1", slot("k1")).withColumn("s2", slot("k2"))
         .select(
-            "measurement_id", "measurement_concept_id", "biomarker", "site_id", "value", "lo", "hi", "units",
-            F.coalesce("s1", "s2").alias("stated"),
+            "measurement_id", "measurement_concept_id", "site_id", "value", F.coalesce("s1", "s2").alias("stated"),
             F.when(F.col("s1").isNotNull(), "unit_text").when(F.col("s2").isNotNull(), "value_text").alias("origin"),
         )
     )
@@ -117,7 +132,9 @@ def site_habits(stated: DataFrame) -> DataFrame:
 def _features(df: DataFrame, width: int, biomarkers: list[str]) -> DataFrame:
     lit0 = F.lit(0.0)
     cols = {"f_size": F.coalesce(F.when(F.col("value") > 0, F.log10("value")), F.lit(-9.0)), "f_kind": F.coalesce(F.array_position(F.array(*[F.lit(b) for b in biomarkers]), F.col("biomarker")).cast("double"), lit0)}
+    usual = F.coalesce(settle(F.coalesce("usual", "common")).cast("double"), F.lit(-1.0))
     for i in range(width):
+        cols[f"f_habit{i}"] = (usual == i).cast("double")
         cols[f"f_share{i}"] = F.coalesce(F.try_element_at("by_slot", F.lit(i)) / F.col("total"), lit0)
         cols[f"f_fits{i}"] = F.coalesce(F.when(F.size("units") > i, possible_in(F.lit(i)).cast("double")), F.lit(-1.0))
     cols["f_usual"] = F.coalesce(F.col("usual").cast("double"), F.lit(-1.0))
@@ -140,8 +157,8 @@ class UnitForest:
         if not n:
             return None
         keep = min(1.0, sample_rows / n)
-        draw = F.pmod(F.xxhash64("measurement_id", F.lit(seed)), F.lit(1 << 20))
-        rows = labelled.where(draw < int(keep * (1 << 20)) + 1).withColumn("label", settle(F.col("stated")).cast("double")).withColumn("held", draw % 4 == 0)
+        draw = F.pmod(F.xxhash64("measurement_id", F.lit(seed)), F.lit(1 << 40))
+        rows = labelled.where(draw < int(keep * (1 << 40)) + 1).withColumn("label", settle(F.col("stated")).cast("double")).withColumn("held", draw % 4 == 0)
         shape = rows.agg(F.max(F.size("units")).alias("w"), F.sort_array(F.collect_set("biomarker")).alias("b")).first()
         if not shape["w"]:
             return None
@@ -174,29 +191,35 @@ class UnitForest:
         return out.withColumn("guess", F.col("prediction").cast("int")).withColumn("confidence", sure).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def _with_habits(spark: SparkSession, meas: DataFrame, codebook: DataFrame, reference: DataFrame) -> DataFrame:
+    """Rows of ``stated_units`` with their biomarker's range and units, the habits of their source and the common unit's slot."""
+    book = unit_book(codebook, reference)
+    rows = cut(stated_units(meas, book)).join(small(book), "measurement_concept_id")
+    keyed = small(cut(site_habits(rows)).withColumnsRenamed({"site_id": "h_site", "biomarker": "h_bio"}))
+    rows = rows.alias("m").join(keyed, F.col("m.site_id").eqNullSafe(F.col("h_site")) & (F.col("m.biomarker") == F.col("h_bio")), "left").drop("h_site", "h_bio")
+    common = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda i: F.get("units", i)["is_common"])
+    return rows.withColumn("common", F.get(common, F.lit(0)))
+
+
 def convert_units(spark: SparkSession, meas: DataFrame, codebook: DataFrame, reference: DataFrame, *, confident: float = 0.9, sample_rows: int = 12_000) -> DataFrame:
     """One row per measurement with a codebook concept and a number, in its own and the common unit.
 
     Columns: measurement_id, biomarker, site_id, value, unit_code, unit_origin ('unit_text', 'value_text',
     'forest', 'site'), confidence (null where stated), common_unit, common_value, needs_review.
-    A stated unit wins; 'forest' marks a prediction that is confident and passed the exact check, 'site' one
-    that the check had to settle. A biomarker without units keeps a null unit and value and needs review.
+    A stated unit wins; where none is stated and the forest is ``confident``, its unit is taken ('forest'); the others
+    get the source's usual unit after the check of the possible range ('site') and need review, and so do stated units
+    that the range corrects. A biomarker without units keeps a null unit and value and needs review.
     Null or NaN values without a number in the text, null and foreign concepts give no row. A null site is a
     source of its own. Repeated rows give repeated results; empty tables an empty result.
     """
-    stated = cut(stated_units(meas, codebook, reference))
-    habits = site_habits(stated)
-    keyed = small(habits.withColumnsRenamed({"site_id": "h_site", "biomarker": "h_bio"}))
-    rows = stated.alias("m").join(keyed, F.col("m.site_id").eqNullSafe(F.col("h_site")) & (F.col("m.biomarker") == F.col("h_bio")), "left").drop("h_site", "h_bio")
-    common = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda i: F.get("units", i)["is_common"])
-    rows = rows.withColumn("common", F.get(common, F.lit(0)))
+    rows = _with_habits(spark, meas, codebook, reference)
     told = rows.where("stated is not null")
     silent = rows.where("stated is null")
     forest = UnitForest.fit(told, sample_rows=sample_rows)
     silent = forest.predict(silent) if forest else silent.withColumn("guess", F.lit(None).cast("int")).withColumn("confidence", F.lit(0.0))
-    rule = settle(F.coalesce("usual", "common"))
-    silent = silent.withColumn("rule", rule).withColumn("agreed", F.coalesce((F.col("guess") == F.col("rule")) & (F.col("confidence") >= confident), F.lit(False)))
-    silent = silent.withColumn("slot", F.when(F.col("agreed"), F.col("guess")).otherwise(F.col("rule"))).withColumn("origin", F.when(F.col("agreed"), "forest").otherwise("site")).withColumn("needs_review", ~F.col("agreed"))
+    sure = F.coalesce((F.col("confidence") >= confident) & (F.col("guess") < F.size("units")), F.lit(False))
+    silent = silent.withColumn("sure", sure).withColumn("slot", F.when(F.col("sure"), F.col("guess")).otherwise(settle(F.coalesce("usual", "common"))))
+    silent = silent.withColumn("origin", F.when(F.col("sure"), "forest").otherwise("site")).withColumn("needs_review", ~F.col("sure"))
     told = told.withColumn("slot", settle(F.col("stated"))).withColumn("confidence", F.lit(None).cast("double")).withColumn("needs_review", F.col("slot") != F.col("stated"))
     keep = ["measurement_id", "biomarker", "site_id", "value", "units", "slot", "common", "origin", "confidence", "needs_review"]
     unit = F.get("units", F.col("slot"))

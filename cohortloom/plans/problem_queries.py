@@ -54,7 +54,12 @@ def p7_common(spark: SparkSession, d: str) -> DataFrame:
     return _converted(spark, d).select("measurement_id", "biomarker", F.round("common_value", 6).alias("common_value"), "common_unit")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_ingredient_days, p3_person_days, p7_found, p7_common)}
+def p7_review(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose unit is not certain: missing ones of which the forest is not sure, and stated ones that the range corrects."""
+    return _converted(spark, d).where("needs_review").select("measurement_id", "biomarker", "unit_code", "unit_origin", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_ingredient_days, p3_person_days, p7_found, p7_common, p7_review)}
 
 
 def _unpivoted() -> str:

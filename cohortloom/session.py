@@ -46,9 +46,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, which it is counted for; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= most else df
+def small(df: DataFrame, most: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows and about ``most_bytes``, which it is read for; else as it is, to be shuffled."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -234,20 +234,30 @@ def test_units_without_labels_or_rows(spark):
 
 def test_forest_on_held_out_rows(spark):
     """The classifier predicts hidden units of rows it was not fitted on."""
-    from cohortloom.operators.units import UnitForest, settle, site_habits, stated_units
+    from cohortloom.operators.units import UnitForest, _with_habits, settle
     from cohortloom.session import load
 
     d = "/root/testdata/sf0.01"
-    rows = stated_units(load(spark, d, "filtered_measurements"), load(spark, d, "biomarker_codebook"), load(spark, d, "unit_reference"))
-    h = site_habits(rows).withColumnsRenamed({"site_id": "hs", "biomarker": "hb"})
-    common = F.filter(F.sequence(F.lit(0), F.size("units") - 1), lambda i: F.get("units", i)["is_common"])
-    told = rows.where("stated is not null").join(h, F.col("site_id").eqNullSafe(F.col("hs")) & (F.col("biomarker") == F.col("hb")), "left").withColumn("common", F.get(common, F.lit(0)))
+    rows = _with_habits(spark, load(spark, d, "filtered_measurements"), load(spark, d, "biomarker_codebook"), load(spark, d, "unit_reference"))
+    told = rows.where("stated is not null")
     fit, rest = told.where("measurement_id % 2 = 0"), told.where("measurement_id % 2 = 1")
     out = UnitForest.fit(fit, sample_rows=4000).predict(rest).withColumn("truth", settle(F.col("stated")))
     acc, sure = out.selectExpr("avg(cast(guess = truth as double))", "avg(case when confidence >= 0.9 then cast(guess = truth as double) end)").first()
     assert acc > 0.85 and sure > 0.93
 
 
+def test_confident_forest_decides_and_doubt_is_reviewed(spark):
+    """Units that only the size of the value tells: the forest goes against the source's habit where it is confident."""
+    rng = random.Random(8)
+    rows = [(i, 2, *((rng.gauss(7, 0.5), "%") if rng.random() < 0.75 else (rng.gauss(15, 0.5), "mmol/mol")), None, i % 3, "x", 1) for i in range(3000)]
+    rows += [(9000, 2, 7.1, None, None, 1, "x", 1), (9001, 2, 15.0, None, None, 1, "x", 1), (9002, 2, 11.0, None, None, 1, "x", 1)]
+    got = units(spark, rows)
+    assert (got[9000]["unit_code"], got[9000]["unit_origin"], got[9000]["needs_review"]) == ("%", "forest", False)
+    assert (got[9001]["unit_code"], got[9001]["unit_origin"]) == ("mmol/mol", "forest")
+    unsure = units(spark, rows, confident=1.1)
+    assert (unsure[9001]["unit_code"], unsure[9001]["unit_origin"], unsure[9001]["needs_review"]) == ("%", "site", True)
+
+
 def test_units_of_biomarkers_without_reference(spark):
     m = spark.createDataFrame([(1, 1, 100.0, None, None, 1), (2, 2, 6.0, "%", None, 1), (3, 1, None, None, "LDL 99 mg/dL", None), (4, 1, 50.0, "x" * 100_000, None, 1)], "measurement_id long, measurement_concept_id long, val double, unit_text string, value_text string, site_id int")
     book = spark.createDataFrame([*BOOK, (3, None, None, None)], "concept_id long, biomarker string, lo double, hi double")
