@@ -1,15 +1,17 @@
 """Free-entered values mapped to the entries of a reference list.
 
-An Aho-Corasick automaton over all canonical names and aliases finds whole-word mentions inside a value; the
-longest, leftmost, non-overlapping one wins. What holds no mention goes to token-set similarity: the sets of
-letter pairs of the value's token windows and rotations against those of every name, checked by an edit
-distance of at most 2, less for short names. The rest is reported as unmatched.
+One Aho-Corasick automaton over all canonical names and aliases finds whole-word mentions inside a value; the
+longest, leftmost, non-overlapping one wins. What holds no mention goes to token-set similarity: the words of the
+value (and joined neighbours) are looked up among the words of the names by inverted indexes that miss nothing within two
+edits, and the name whose words are all there, close together and with the fewest edits for its length, is
+taken. The rest is reported as unmatched.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -71,10 +73,81 @@ def _pairs(text: str) -> set[str]:
     return {text[i : i + 2] for i in range(len(text) - 1)}
 
 
+def _counted(text: str) -> list[str]:
+    """Letter pairs, each with the number of its occurrence, so that repeated ones count."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(text) - 1):
+        p = text[i : i + 2]
+        seen[p] = seen.get(p, 0) + 1
+        out.append(f"{p}{seen[p]}")
+    return out
+
+
+def edits_allowed(length: int) -> int:
+    return min(2, length // 4)
+
+
+class TokenIndex:
+    """Words within the edits that their length allows (none below 4 letters, 1 below 8, else 2), without loss.
+
+    Words of one edit are found by what is left of them after one deletion; words of two by the number of letter
+    pairs that two edits must leave: each takes three at most, if neighbours are swapped.
+    """
+
+    def __init__(self, tokens: Iterable[str], memo: int = 200_000):
+        self.tokens = sorted(set(tokens))
+        self.exact = {t: i for i, t in enumerate(self.tokens)}
+        self.size = np.array([len(t) for t in self.tokens], np.int32)
+        self.longest = int(self.size.max(initial=0))
+        self.shortened: dict[str, list[int]] = {}
+        pairs: dict[str, list[int]] = {}
+        for i, t in enumerate(self.tokens):
+            if edits_allowed(len(t)) == 1:
+                for d in self._deletions(t):
+                    self.shortened.setdefault(d, []).append(i)
+            elif edits_allowed(len(t)) == 2:
+                for p in _counted(t):
+                    pairs.setdefault(p, []).append(i)
+        self.pairs = {p: np.array(x, np.int32) for p, x in pairs.items()}
+        self.memo, self.known = memo, {}
+
+    @staticmethod
+    def _deletions(t: str) -> set[str]:
+        return {t} | {t[:i] + t[i + 1 :] for i in range(len(t))}
+
+    def near(self, word: str) -> list[tuple[int, int]]:
+        """(token, edits) of every token that the word may stand for."""
+        got = self.known.get(word)
+        if got is not None:
+            return got
+        out = {}
+        if word in self.exact:
+            out[self.exact[word]] = 0
+        if 3 <= len(word) <= 8:
+            for d in self._deletions(word):
+                for i in self.shortened.get(d, ()):
+                    if i not in out and edit_distance(word, self.tokens[i], 1) <= 1:
+                        out[i] = 1
+        if 6 <= len(word) <= self.longest + 2:
+            hits = [self.pairs[p] for p in _counted(word) if p in self.pairs]
+            if hits:
+                at, n = np.unique(np.concatenate(hits), return_counts=True)
+                size = self.size[at]
+                for i in at[(np.abs(size - len(word)) <= 2) & (n >= np.maximum(size, len(word)) - 7)].tolist():
+                    if i not in out and (far := edit_distance(word, self.tokens[i], 2)) <= 2:
+                        out[i] = far
+        got = sorted(out.items())
+        if len(self.known) >= self.memo:
+            self.known.clear()
+        self.known[word] = got
+        return got
+
+
 class NameMatcher:
     """Matcher over (entry id, name) and (entry id, alias); of entries with equal names the smaller id stands for both."""
 
-    def __init__(self, names: Iterable[tuple[int, str]], aliases: Iterable[tuple[int, str]] = (), *, closest: int = 24, memo: int = 200_000):
+    def __init__(self, names: Iterable[tuple[int, str]], aliases: Iterable[tuple[int, str]] = (), *, memo: int = 200_000):
         self.ids: dict[str, int] = {}
         for i, name in names:
             key = plain(name)
@@ -85,38 +158,43 @@ class NameMatcher:
             key = plain(name)
             if key and key not in self.ids:
                 self.aliases[key] = min(i, self.aliases.get(key, i))
-        self.canonical, self.other = self._automaton(self.ids), self._automaton(self.aliases)
-        self.keys = sorted(self.ids)
-        self.joined = [k.replace(" ", "") for k in self.keys]
-        vocabulary = sorted(set().union(*map(_pairs, self.joined))) if self.joined else []
-        self.column = {p: i for i, p in enumerate(vocabulary)}
-        self.matrix = np.zeros((len(self.keys), len(vocabulary)), np.float32)
-        for r, k in enumerate(self.joined):
-            self.matrix[r, [self.column[p] for p in _pairs(k)]] = 1
-        self.size = self.matrix.sum(1)
-        self.closest, self.memo = closest, memo
+        self.automaton = None
+        if self.ids or self.aliases:
+            self.automaton = ahocorasick.Automaton()
+            for how, listed in (("alias", self.aliases), ("mention", self.ids)):
+                for key, i in listed.items():
+                    self.automaton.add_word(f" {key} ", (len(key), i, how))
+            self.automaton.make_automaton()
+        self.most_words = max((len(k.split()) for k in [*self.ids, *self.aliases]), default=1)
+        # names are sets of words; one written without its blanks is a word too
+        self.parts: list[tuple[tuple[int, ...], int, str]] = []
+        keys = sorted(self.ids)
+        self.index = TokenIndex([w for k in keys for w in (*k.split(), k.replace(" ", ""))])
+        self.names_of: dict[int, list[int]] = {}
+        for k in keys:
+            joined = k.replace(" ", "")
+            for words in {(joined,), tuple(k.split())}:
+                tokens = tuple(self.index.exact[w] for w in words)
+                for t in set(tokens):
+                    self.names_of.setdefault(t, []).append(len(self.parts))
+                self.parts.append((tokens, self.ids[k], joined))
+        self.memo = memo
         self.known: dict[str, tuple[int, str, float]] = {}
 
-    @staticmethod
-    def _automaton(ids: dict[str, int]):
-        if not ids:
-            return None
-        a = ahocorasick.Automaton()
-        for key, i in ids.items():
-            a.add_word(f" {key} ", (len(key), i))
-        a.make_automaton()
-        return a
-
-    @staticmethod
-    def _mention(automaton, text: str) -> tuple[int, int] | None:
-        """(minus length, entry) of the longest of the non-overlapping mentions, the leftmost if tied."""
-        if automaton is None:
+    def _mention(self, words: list[str], around: bool) -> tuple[int, int, int, str] | None:
+        """(minus length, place, entry, how) of the longest of the non-overlapping mentions, the leftmost if tied; ``around``:
+        the parts of a name may stand at both ends of the words."""
+        if self.automaton is None:
             return None
+        n = len(words)
+        text = f" {' '.join(words + words[: min(n, self.most_words) - 1] if around else words)} "
         best = None
-        for end, (n, i) in automaton.iter(f" {text} "):
-            if best is None or (-n, end - n) < best[:2]:
-                best = (-n, end - n, i)
-        return best and (best[0], best[2])
+        for end, (size, i, how) in self.automaton.iter(text):
+            if best is None or (-size, end - size) < best[:2]:
+                if around and text.count(" ", end - size, end) > n:
+                    continue
+                best = (-size, end - size, i, how)
+        return best
 
     @staticmethod
     def _word_lists(raw: str) -> list[list[str]]:
@@ -124,67 +202,78 @@ class NameMatcher:
         text = MAKER.sub(" ", unicodedata.normalize("NFKC", re.sub(r"[™®©℠]", " ", raw)).lower())
         out = []
         for t in (text, re.sub(r"[(\[].*?[)\]]", " ", text)):
-            words = [w for w in plain(t).split() if w not in NOISE and not DOSE.match(w)][:12]
+            words = [w for w in plain(t).split() if w not in NOISE and not DOSE.match(w)]
             if words and words not in out:
                 out.append(words)
         return out
 
-    def _turned(self, raw: str) -> int | None:
-        """Mention in the text or, as parts of a name may stand in another order, in a rotation of its words: the longest wins."""
-        turns = [plain(raw)] + [" ".join(ws[i:] + ws[:i]) for ws in self._word_lists(raw) for i in range(len(ws))]
-        best = None
-        for turn in dict.fromkeys(turns):
-            hit = self._mention(self.canonical, turn)
-            if hit is not None and (best is None or hit[0] < best[0]):
-                best = hit
-        return best and best[1]
-
-    def _variants(self, raw: str) -> set[str]:
-        """Joined windows and rotations of the words, and neighbours in the other order; digits that look like letters become them."""
-        out = set()
-        for words in self._word_lists(raw):
-            words = [w.translate(LOOKALIKE) for w in words]
-            for i in range(len(words)):
-                out.add("".join(words[i:] + words[:i]))
-                out.add("".join(words[i : i + 2][::-1]))
-                for j in range(i + 1, len(words) + 1):
-                    out.add("".join(words[i:j]))
+    def _found(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
+        """Per token the (place, edits) where a word, or joined neighbours in either order, may stand for it."""
+        n, out = len(words), {}
+        for i in range(n):
+            tries, joined = [words[i]], words[i]
+            for j in range(1, n):
+                joined += words[(i + j) % n]
+                if len(joined) > self.index.longest + 2:
+                    break
+                tries.append(joined)
+            if n > 1:
+                tries.append(words[(i + 1) % n] + words[i])
+            for word in tries:
+                for token, far in self.index.near(word):
+                    out.setdefault(token, []).append((i, far))
         return out
 
-    def _similar(self, raw: str) -> tuple[int, float] | None:
-        variants = self._variants(raw)
-        if not variants or not self.keys:
-            return None
+    def _similar(self, lists: list[list[str]]) -> tuple[int, float] | None:
         best = None
-        for v in variants:
-            own = _pairs(v)
-            hits = [self.column[p] for p in own if p in self.column]
-            if not hits:
-                continue
-            share = 2 * self.matrix[:, hits].sum(1) / (self.size + len(own))
-            top = np.argpartition(-share, self.closest)[: self.closest] if len(share) > self.closest else range(len(share))
-            for r in top:
-                name = self.joined[r]
-                most = min(2, len(name) // 4)
-                far = edit_distance(v, name, most)
+        for words in lists:
+            # digits that look like letters become them
+            words = [w.translate(LOOKALIKE) for w in words]
+            n, found = len(words), self._found(words)
+            for part in {p for t in found for p in self.names_of.get(t, ())}:
+                tokens, entry, joined = self.parts[part]
+                if any(t not in found for t in tokens):
+                    continue
+                most = edits_allowed(len(joined))
+                far = self._together([found[t] for t in tokens], n, most)
                 if far <= most:
-                    rank = (far / len(name), -float(share[r]), self.ids[self.keys[r]])
+                    own, other = _pairs(joined), _pairs("".join(words))
+                    rank = (far / len(joined), -2 * len(own & other) / max(1, len(own) + len(other)), entry)
                     if best is None or rank < best[0]:
-                        best = (rank, float(share[r]))
+                        best = (rank, 1 - far / len(joined))
         return best and (best[0][2], best[1])
 
+    @staticmethod
+    def _together(places: list[list[tuple[int, int]]], n: int, most: int) -> int:
+        """Fewest edits with which all words of a name stand near each other: within one place more than they are; the ends of the value meet."""
+        if len(places) == 1:
+            return min(far for _, far in places[0])
+        best = most + 1
+        for first, far in places[0]:
+            total, taken = far, {first}
+            for spots in places[1:]:
+                near = [(f, p) for p, f in spots if p not in taken and min((p - first) % n, (first - p) % n) <= len(places)]
+                if not near:
+                    total = most + 1
+                    break
+                f, p = min(near)
+                total += f
+                taken.add(p)
+            best = min(best, total)
+        return best
+
     def match(self, raw: str) -> tuple[int, str, float]:
         """(entry id, how, similarity): how is 'mention', 'alias', 'similar' or 'unmatched' (id 0)."""
         got = self.known.get(raw)
         if got is None:
-            text = plain(raw)
-            hit = self._turned(raw)
+            lists = self._word_lists(raw)
+            hits = [self._mention(plain(raw).split(), False), *(self._mention(words, True) for words in lists)]
+            # of mentions of one length, that in the value as it stands comes first
+            hit = min(((h[0], k, h) for k, h in enumerate(hits) if h), default=None)
             if hit is not None:
-                got = (hit, "mention", 1.0)
-            elif (near := self._similar(raw)) is not None:
+                got = (hit[2][2], hit[2][3], 1.0)
+            elif (near := self._similar(lists)) is not None:
                 got = (near[0], "similar", near[1])
-            elif (alias := self._mention(self.other, text)) is not None:
-                got = (alias[1], "alias", 1.0)
             else:
                 got = (0, "unmatched", 0.0)
             if len(self.known) >= self.memo:
@@ -193,11 +282,14 @@ class NameMatcher:
         return got
 
 
-def map_names(df: DataFrame, reference: DataFrame, *, row_id: str, value: str, entry_id: str, name: str, aliases: DataFrame | None = None, most_names: int = 500_000) -> DataFrame:
+_MATCHERS: dict[str, NameMatcher] = {}
+
+
+def map_names(df: DataFrame, reference: DataFrame, *, row_id: str, value: str, entry_id: str, name: str, aliases: DataFrame | None = None, most_names: int = 500_000, most_letters: int = 20_000_000) -> DataFrame:
     """Rows (<row_id>, <entry_id>, how, similarity) of every row whose value is neither null nor blank; 0 if unmatched.
 
-    The reference list is sent to every worker; more than ``most_names`` names raise an error. Null and
-    blank names of the list are ignored. Repeated rows give repeated results; very long values are read whole; an
+    The reference list is sent to every worker; more than ``most_names`` names, or ``most_letters`` in them, raise an
+    error. Null and blank names of the list are ignored. Repeated rows give repeated results; very long values are read whole; an
     empty list leaves all unmatched. There is no shuffle: hot values are looked up in a memo.
     """
 
@@ -209,10 +301,19 @@ def map_names(df: DataFrame, reference: DataFrame, *, row_id: str, value: str, e
             raise ValueError(f"more than {most_names} names in the reference list")
         return [(r[0], r[1]) for r in rows]
 
-    sent = df.sparkSession.sparkContext.broadcast((listed(reference), listed(aliases)))
+    lists = (listed(reference), listed(aliases))
+    size = sum(len(n) for x in lists for _, n in x)
+    if size > most_letters:
+        raise ValueError(f"the names of the reference list hold {size} letters, more than {most_letters}")
+    sent = df.sparkSession.sparkContext.broadcast(lists)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = NameMatcher(*sent.value)
+        # one matcher a process, which serves all its partitions
+        if key not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[key] = NameMatcher(*sent.value)
+        matcher = _MATCHERS[key]
         for b in batches:
             got = [matcher.match(v) for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

@@ -1,6 +1,6 @@
 """Personal information inside free text, by a character-level bidirectional LSTM with CRF transitions.
 
-The network reads a text in overlapping windows, a frame of four characters a step, and scores the labels of each
+The network reads a text in overlapping windows, a frame of five characters a step, and scores the labels of each
 character; scores of overlapping windows are averaged, weighted towards their middles, and the best label path is
 decoded over the whole text. Spans are then snapped to whole tokens by an exact check, which can only move or
 drop what the network found.
@@ -55,7 +55,7 @@ def encode_chars(text: str) -> np.ndarray:
 
 
 #: Characters that the network reads in one step: it runs over frames and gives labels to each character of a frame.
-FRAME = 4
+FRAME = 5
 
 
 @dataclass
@@ -222,7 +222,7 @@ class Tagger:
                 at[on] = (sums[s - 1, :, on].T + lawful.T[now]).argmax(1)
         return [path[:n, i] for i, n in enumerate(length)]
 
-    def text_scores(self, texts: list[str], window: int = 512, stride: int = 448, batch: int = 256) -> list[np.ndarray]:
+    def text_scores(self, texts: list[str], window: int = 500, stride: int = 440, batch: int = 256) -> list[np.ndarray]:
         """Emissions of whole texts from overlapping windows, averaged with weights that rise towards a window's middle."""
         codes = [encode_chars(t) for t in texts]
         out: list[np.ndarray] = [np.zeros((0, LABELS), np.float32) for _ in texts]

@@ -2,7 +2,9 @@
 
 Names, streets, towns and words are drawn from short lists or put together from syllables; numbers follow the
 forms of many countries with random digits. Passages are sentences of letters, notes, forms, chats and logs in four
-languages, with as many sentences that hold numbers and names of things which are nobody's personal data.
+languages, with as many sentences that hold numbers and names of things which are nobody's personal data. Half of them
+follow no template: words of a language and made-up words in random order, with spans anywhere between them, so that
+the form of a span and the word before it count and not the sentence.
 """
 
 from __future__ import annotations
@@ -42,6 +44,26 @@ ES_NAMES = ["Mayor", "de la Paz", "del Sol", "San Juan", "de Alcalá", "de los O
 HOSTS = ["example", "mail", "post", "inbox", "fastnet", "uni", "clinic", "office", "corp", "my-mail", "praxis", "hopital", "salud", "lab7", "north.health", "web"]
 ENDS = ["com", "org", "net", "de", "fr", "es", "co.uk", "edu", "io", "test", "invalid", "eu", "info", "gov"]
 
+# Frequent words of each language, and words that stand before a span or before a number of no person.
+COMMON = {
+    "en": "the of and to in a is was for with that on by from this not are be as at it which were had has after before when about into than over we you i she he they will would can could has been there their our your all one two new old last first next same other some any no only very then also but or if please found made came went took gave sent read said called used left seen".split(),
+    "fr": "le la les de des du et à un une en est pour que qui dans sur par au avec ne pas plus ce cette il elle nous vous sont été avait être fait mais ou où si leur leurs son sa ses notre votre après avant comme aussi très bien encore deux trois nouveau dernière même tout sans sous entre chez vers depuis selon".split(),
+    "de": "der die das und in zu den von mit ist im für auf des dem ein eine nicht als auch es an sich bei nach aus wird wurde sind war hat haben noch nur oder aber wenn über vor bis durch zum zur einer eines sehr dann mehr schon zwei drei neue alte letzte erste gleiche andere kein keine man wir sie er ihr gegen ohne um seit".split(),
+    "es": "el la los las de del y en un una que es por con para no se al lo como más pero sus le ya o este esta sí porque muy sin sobre también me hasta hay donde quien desde todo nos durante uno dos tres ni contra otros ese eso ante ellos e esto antes algunos nuevo último mismo fue ha era son está".split(),
+}
+CUES = {
+    "person": ["", "", "", "", "", "name", "Name:", "signed", "Signed:", "from", "by", "with", "contact", "Contact:", "dear", "Dear", "Hi", "Hello", "Bonjour", "Hola", "Hallo", "Liebe", "Regards,", "thanks,", "i am", "my name is", "its", "nom :", "von", "para", "pour", "attn", "holder", "witness", "To:", "From:"],
+    "title": ["Mr", "Mr.", "Mrs", "Mrs.", "Ms", "Ms.", "Miss", "Dr", "Dr.", "Prof.", "Professor", "Sir", "Mme", "Madame", "M.", "Monsieur", "Mlle", "Herr", "Herrn", "Frau", "Sr.", "Sra.", "señor", "señora", "Don", "Doña", "Frau Dr.", "Dra."],
+    "email": ["", "", "", "email", "Email:", "e-mail", "mail", "write to", "at", "an", "à", "contact", "<", "courriel", "correo"],
+    "phone": ["tel", "Tel.", "Tel:", "phone", "Phone:", "call", "on", "ring", "mobile", "cell", "number is", "fax", "tél.", "au", "unter", "Telefon", "Handy", "teléfono", "al", "móvil", "reach me on", "text", "dial", "("],
+    "id_number": ["passport", "passport no.", "passport number", "SSN", "social security number", "NHS number", "MRN", "MRN:", "patient ID", "patient no.", "member ID", "insurance no.", "policy holder", "medical record", "licence no.", "ID card", "passeport n°", "NIR", "n° de sécurité sociale",
+        "carte d'identité", "Ausweis", "Personalausweis", "Reisepass", "Versichertennummer", "Patienten-ID", "DNI", "NIE", "con DNI", "pasaporte", "tarjeta sanitaria", "subscriber", "health card", "tax ID of the person"],
+    "address": ["", "", "", "at", "lives at", "address:", "Address", "to", "moved to", "resides at", "flat at", "house at", "demeurant", "habite", "adresse :", "wohnhaft", "wohnt", "Anschrift", "in der", "vive en", "domicilio", "dirección:", "home:"],
+    "none": ["order", "order no.", "lot", "batch", "invoice", "ref", "ref.", "reference", "item", "ticket", "docket", "case", "flight", "identifier", "checksum", "version", "build", "seed", "study", "grant", "serial", "room", "page", "chapter", "concept", "code", "table", "rows", "commande", "lot n°",
+        "facture", "dossier technique", "train", "Bestellung", "Charge", "Rechnung", "Raum", "Artikel", "pedido", "lote", "factura", "sala", "informe", "tracking", "part no.", "NCT", "resolution", "paid", "total", "of", "about", "desk", "bus", "gate", "account plan", "="],
+    "thing": ["score", "index", "test", "scale", "sign", "Hospital", "hospital", "Ward", "clinic", "theorem", "law", "syndrome", "protocol", "Street Station", "group", "Institute", "Foundation", "University", "effect", "filter", "method", "Bridge", "Award", "study", "trial", "Ltd", "Inc.", "GmbH", "S.A."],
+}
+
 HEADS, VOWELS, TAILS = "b br c ch d dr f fl g gr h j k kl l m n p pr qu r s st t th tr v w z".split(), "a e i o u ai ea ia oo".split(), "n r l s m th rd lt nd ck x tt ll".split()
 
 
@@ -168,8 +190,53 @@ class Maker:
             return self.one([f"{w} score", f"{w}–{v} index", f"{w}-{v} scale", f"{w} sign", f"{w} syndrome", f"{w} staging", f"{w} test", f"{w} protocol", f"{w} formula", f"{w}'s disease"])
         return self.word()
 
+    def ramble(self) -> tuple[str, list[tuple[int, int, str]]]:
+        """A text of words in random order, with spans anywhere."""
+        lang = self.one(list(COMMON))
+        text, spans = "", []
+
+        def add(kind: str) -> None:
+            nonlocal text
+            cue = self.one(CUES[kind])
+            got = {"person": self.person, "email": self.email, "phone": self.phone, "id_number": self.ident, "address": self.address}[kind]()
+            if kind == "person" and self.chance(0.3):
+                cue, got = self.one(CUES["title"]), self.titled()
+            elif kind == "person" and got == got.lower() and not cue:
+                cue = "my name is"
+            elif kind == "phone" and (got[0] in "+(" or got.startswith("00")) and self.chance(0.5):
+                cue = ""
+            if kind in ("id_number", "phone") and self.chance(0.3) and cue not in ("", "("):
+                cue += self.one([":", " is", " #", " no.", " nr."])
+            text += cue + ("" if not cue or cue in "(<" else self.one([" ", " ", " ", "  ", "\n"]))
+            spans.append((len(text), len(text) + len(got), kind))
+            text += got + (")" if cue == "(" else ">" if cue == "<" else "")
+
+        for _ in range(int(self.rng.integers(1, 6))):
+            words = int(self.rng.integers(3, 16))
+            at = int(self.rng.integers(0, words)) if self.chance(0.65) else -1
+            for w in range(words):
+                r = self.rng.random()
+                if w == at:
+                    add(self.one(["person", "person", "person", "email", "phone", "id_number", "address"]))
+                elif r < 0.5:
+                    word = self.one(COMMON[lang])
+                    text += word.capitalize() if w == 0 else word
+                elif r < 0.8:
+                    word = self.word()
+                    text += word.capitalize() if w == 0 or self.chance(0.45 if lang == "de" else 0.08) else word
+                elif r < 0.87:
+                    text += self.one(CUES["none"]) + self.one([" ", " ", ": ", " #", " no. "]) + (self.slot("code") if self.chance(0.6) else self.slot("num"))
+                elif r < 0.92:
+                    text += (self.one(FAMILY) if self.chance(0.5) else self.word().capitalize()) + self.one(["", "", "-" + self.word().capitalize()]) + " " + self.one(CUES["thing"])
+                else:
+                    text += self.slot(self.one(["num", "date", "time", "drug", "place", "score"]))
+                text += self.one([" "] * 8 + [", ", ": ", "; ", " "]) if w < words - 1 else self.one([". ", ".\n", "\n", " ", "? ", "! ", ".\n\n", ""])
+        return text, spans
+
     def passage(self) -> tuple[str, list[tuple[int, int, str]]]:
         """A text with its labelled (start, end, kind)."""
+        if self.chance(0.6):
+            return self.ramble()
         lang = self.one(["en", "en", "fr", "de", "es"])
         text, spans = "", []
         for _ in range(int(self.rng.integers(2, 9))):

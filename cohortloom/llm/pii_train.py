@@ -2,7 +2,7 @@
 
 ``python -m cohortloom.llm.pii_train DOCUMENTS.parquet OUT.npz [SECONDS]``
 
-Half of the training texts are made up (``pii_synth``), with spans known by construction. The other half are documents with
+More than half of the training texts are made up (``pii_synth``), with spans known by construction. The others are documents with
 distant labels: names are learned from the phrases that introduce persons and then marked wherever they
 stand as a full name or after a title; numbers are marked by the words before them or by their national form,
 addresses by the towns of introduced addresses. In each round most labelled spans of documents are replaced by made-up
@@ -146,7 +146,7 @@ def round_of(texts: list[str], spans: list[list[tuple[int, int, int]]], size: in
     maker = Maker(rng)
     fresh = [renew(t, sp, maker) if maker.chance(0.75) else (t, sp) for t, sp in zip(texts, spans)]
     out = windows([f[0] for f in fresh], [f[1] for f in fresh], size, rng)
-    made, goal = [], len(out)
+    made, goal = [], int(1.3 * len(out))
     while len(made) < goal:
         t, sp = maker.passage()
         made += windows([t], [[(a, z, KINDS.index(k)) for a, z, k in sp]], size, rng)
@@ -336,7 +336,7 @@ class Team:
             j.kill()
 
 
-def train(texts: list[str], *, hidden: int = 48, width: int = 12, size: int = 192, batch: int = 32, workers: int = 8, seconds: float = 600, rate: float = 5e-3, seed: int = 3, say=print) -> Tagger:
+def train(texts: list[str], *, hidden: int = 48, width: int = 12, size: int = 190, batch: int = 32, workers: int = 8, seconds: float = 600, rate: float = 5e-3, seed: int = 3, say=print) -> Tagger:
     """Tagger trained on at most MOST_DOCUMENTS distinct texts for about ``seconds``; Adam with a falling rate."""
     rng = np.random.default_rng(seed)
     texts = list(dict.fromkeys(texts))[:MOST_DOCUMENTS]

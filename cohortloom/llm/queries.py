@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.alias_map import map_names
 from cohortloom.llm.byte_bpe import encode_corpus
-from cohortloom.llm.mixing import mix, source_sizes, temperature_weights
+from cohortloom.llm.mixing import mix, mix_tempered
 from cohortloom.llm.nearest_time import Target, nearest_in_time
 from cohortloom.llm.pii import find_personal, redact_personal
 from cohortloom.llm.similar import similar_pairs
@@ -70,11 +70,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_temperature(spark: SparkSession, d: str) -> DataFrame:
-    """Shares of all sources at the flattest temperature that repeats none more than four times."""
-    sizes = {s: float(t) for s, (t, _) in source_sizes(cut(_sized(spark, d))).items()}
-    exponent, shares = temperature_weights(sizes, max_repeats=4)
-    rows = [(s, exponent, sizes[s] / sum(sizes.values()), p) for s, p in shares.items()]
-    return spark.createDataFrame(rows, "source string, exponent double, natural_share double, share double")
+    """Shares reached over all sources at the flattest temperature that repeats none more than four times."""
+    return mix_tempered(_sized(spark, d), max_repeats=4)[1]
+
+
+def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of that mixture."""
+    return mix_tempered(_sized(spark, d), max_repeats=4)[0]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +87,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact_personal(load(spark, d, "documents"), doc_id="doc_id", text="text")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_unmatched, p5_found, p6_found, p8_ids, p9_mixture, p9_shares, p9_temperature, p9_tempered, p10_found, p10_redacted)}
 
 P5 = """
 WITH q AS (
