@@ -42,8 +42,11 @@ def p4_unmatched(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     book = load(spark, d, "biomarker_codebook").select(F.col("concept_id").alias("measurement_concept_id"), "biomarker").distinct()
-    records = load(spark, d, "filtered_measurements").join(small(book), "measurement_concept_id")
-    return nearest_in_time(load(spark, d, "stanford_index"), records, WINDOWS, item="drug_id", person="person_id", kind="biomarker", day="measurement_date", record="measurement_id")
+    items, measured = load(spark, d, "stanford_index"), load(spark, d, "filtered_measurements")
+    return nearest_in_time(
+        items, measured.join(small(book), "measurement_concept_id"), WINDOWS, item="drug_id", person="person_id", kind="biomarker", day="measurement_date",
+        record="measurement_id", rows=len(WINDOWS) * items.count() + measured.count(),
+    )
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

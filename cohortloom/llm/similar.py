@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.session import cut
+from cohortloom.session import cut, small
 
 
 def as_matrix(col: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,6 +252,7 @@ def similar_pairs(
     team_rows: int = 1024,
     hops: int = 3,
     few_needs: int = 300_000,
+    chunk_teams: int = 1000,
 ) -> DataFrame:
     """Rows (vec_field, id_a, id_b, cosine), id_a < id_b: one of the two is among the ``k`` most similar of the other.
 
@@ -369,7 +370,9 @@ def similar_pairs(
         .unionByName(asks.select("f", F.explode("cand").alias("id"), "team", F.lit(0).alias("asks")))
         .unionByName(crossed)
         .groupBy("f", "id", "team").agg(F.max("asks").alias("asks"))
-        .groupBy("f", "id").agg(F.collect_list(F.struct("team", "asks")).alias("teams"))
+        # a vector that very many teams need has its list in bounded chunks, each of which is a task's own
+        .withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy("f", "id").orderBy("team")) - 1) / chunk_teams).cast("int"))
+        .groupBy("f", "id", "chunk").agg(F.collect_list(F.struct("team", "asks")).alias("teams"))
     )
 
     def packed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,10 +385,16 @@ def similar_pairs(
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), pa.array(ids[at]), pa.array([pack(r, z) for r in rows], pa.binary())], ["f", "id", "vec"])
 
     vectors = src.mapInArrow(packed, "f int, id long, vec binary")
-    # who needs which vector: a row of some 30 bytes per vector; sent to all only while it is that small
+    # who needs which vector: sent to all only while the lists are few and short
     needs = cut(needs)
-    needs = F.broadcast(needs) if needs.count() <= few_needs else needs.hint("shuffle_hash")
-    fetched = vectors.join(needs, ["f", "id"]).select("f", "id", "vec", F.explode("teams").alias("t")).select("t.team", "t.asks", "f", "id", "vec")
+    lists, asked = needs.agg(F.count("*"), F.coalesce(F.sum(F.size("teams")), F.lit(0))).first()
+    if lists <= few_needs and asked <= 4 * few_needs:
+        found = vectors.join(F.broadcast(needs), ["f", "id"])
+    else:
+        hubs = small(needs.groupBy("f", "id").agg((F.max("chunk") + 1).alias("chunks")).where("chunks > 1"))
+        copies = vectors.join(hubs, ["f", "id"], "left").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
+        found = copies.join(needs.hint("shuffle_hash"), ["f", "id", "chunk"])
+    fetched = found.select("f", "id", "vec", F.explode("teams").alias("t")).select("t.team", "t.asks", "f", "id", "vec")
 
     def rank(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdDecompressor()

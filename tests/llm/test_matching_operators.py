@@ -91,7 +91,7 @@ def test_similar_with_many_buckets_and_parts(spark):
     rows = clustered(rng, 1500, 24, 60, 0.4)
     df = spark.createDataFrame(rows, "id long, v array<float>")
     want = brute(rows, 24, 5, 0.5)
-    for kw in (dict(bucket_rows=100), dict(bucket_rows=100, bucket_cap=20, team_rows=10), dict(bucket_cap=100, team_rows=30, few_needs=0)):
+    for kw in (dict(bucket_rows=100), dict(bucket_rows=100, bucket_cap=20, team_rows=10), dict(bucket_cap=100, team_rows=30, few_needs=0, chunk_teams=2)):
         got = found(similar_pairs(df, item="id", fields={"v": 24}, **kw))
         assert len(got & want) / len(want) > 0.9, kw
 
