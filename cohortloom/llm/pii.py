@@ -144,20 +144,18 @@ class Tagger:
         enter = float((t[1:, 1:] - t[1:, :1]).max())
         inner = max(0.0, float(t[1:, 1:].max() - t[0, 0]))
         leave = float((t[1:, 0] - t[0, 0]).max())
-        ahead = [max(0.0, float((em[:, 2 * k + 2] - em[:, 2 * k + 1]).max())) for k in range(len(KINDS))]
+        by = np.ascontiguousarray(em.T)
+        ahead = [max(0.0, float((by[2 * k + 2] - by[2 * k + 1]).max())) for k in range(len(KINDS))]
         anew = max(
             float(t[[2 * k + 1, 2 * k + 2], 2 * k + 2].max() - t[0, 2 * k + 1] + np.maximum(0, (t[2 * k + 2] - t[2 * k + 1])[t[2 * k + 1] > -1e3]).max()) + ahead[k] for k in range(len(KINDS))
         )
-        best = em[:, 1].copy()
-        for k in range(2, LABELS):
-            np.maximum(best, em[:, k], out=best)
-        lead = em[:, 0] - best - inner
+        lead = by[0] - by[1:].max(0) - inner
         weak = np.concatenate([[0], np.cumsum(lead <= max(0.0, start + leave))])
         total = np.concatenate([[0.0], np.cumsum(lead, dtype=np.float64)])
-        at = np.arange(run, n - run)
-        left, right = total[at + 1] - total[at - run], total[at + run + 1] - total[at]
-        out[at] = (
-            (weak[at + run + 1] == weak[at - run]) & (left > enter + leave) & (right > start + anew) & (left + right - lead[at] > enter + anew)
+        # at every place from run to n - run - 1: the sums over the run before it (itself included), after it, and in between
+        left, right = total[run + 1 : n - run + 1] - total[: n - 2 * run], total[2 * run + 1 :] - total[run : n - run]
+        out[run : n - run] = (
+            (weak[2 * run + 1 :] == weak[: n - 2 * run]) & (left > enter + leave) & (right > start + anew) & (left + right - lead[run : n - run] > enter + anew)
         )
         return out
 
