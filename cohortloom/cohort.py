@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators import pairs, representations
-from cohortloom.sources import readers, writers
+from cohortloom.sources import files, readers, writers
 
-ARTEFACTS = ("index", "outcomes", "representations", "deltas", "prototypes")
+ARTEFACTS = ("index", "outcomes", "representations", "deltas", "prototypes", "draws", "proteins")
 
 
 @dataclass(frozen=True)
@@ -27,6 +26,8 @@ class Cohort:
     representations: DataFrame | None = None
     deltas: DataFrame | None = None
     prototypes: DataFrame | None = None
+    draws: DataFrame | None = None
+    proteins: DataFrame | None = None
 
     def __post_init__(self):
         if not self.ingredient_concept_ids and self.drug_id > 0:
@@ -65,16 +66,30 @@ class Cohort:
         both = [c.prototypes.select(F.lit(i).cast("long").alias("drug_id"), "proto") for i, c in enumerate((self, other))]
         return pairs.cohort_distances(both[0].unionByName(both[1])).first()["distance"]
 
-    def prediction_times(self, timepoint: str = "t0") -> DataFrame:
+    def prediction_times(self, timepoint: str = "t0", source: str = "index") -> DataFrame:
+        """Times of the members, or, for ``source`` 'draws', of the persons with a blood draw."""
+        if source not in ("index", "draws"):
+            raise ValueError(f"unknown source {source!r}")
+        if source == "draws":
+            return representations.prediction_times(self._drawn(), "t0", "eid")
         return representations.prediction_times(self._members(), timepoint)
 
+    def _drawn(self) -> DataFrame:
+        if self.draws is None:
+            raise ValueError(f"cohort {self.drug_id} has no blood draws")
+        return self.draws
+
+    def with_proteins(self, measured: DataFrame) -> Cohort:
+        """A copy with the measured proteins (eid and one column each) of the persons with a blood draw as an aligned array."""
+        return replace(self, proteins=representations.aligned(self._drawn().select("eid"), measured, ["eid"]))
+
     def save(self, path: str) -> None:
         tables = {a: getattr(self, a) for a in ARTEFACTS if getattr(self, a) is not None}
-        writers.cohort(path, {"drug_id": self.drug_id, "name": self.name, "kind": self.kind, "ingredient_concept_ids": list(self.ingredient_concept_ids)}, **tables)
+        writers.cohort(SparkSession.active(), path, {"drug_id": self.drug_id, "name": self.name, "kind": self.kind, "ingredient_concept_ids": list(self.ingredient_concept_ids)}, **tables)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Cohort:
         """From a saved folder; artefacts that are not there stay None."""
-        meta = readers.metadata(path)
-        tables = {a: spark.read.parquet(os.path.join(path, a)) for a in ARTEFACTS if os.path.isdir(os.path.join(path, a))}
+        meta = readers.metadata(spark, path)
+        tables = {a: spark.read.parquet(files.join(path, a)) for a in ARTEFACTS if files.is_folder(spark, files.join(path, a))}
         return cls(meta["drug_id"], meta["name"], meta["kind"], tuple(meta["ingredient_concept_ids"]), **tables)

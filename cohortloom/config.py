@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from pathlib import Path
+
+from cohortloom.sources.files import join
 
 
 @dataclass(frozen=True)
@@ -30,38 +31,38 @@ class Screening:
 
 @dataclass(frozen=True)
 class Paths:
-    """Where a study keeps its tables; a sampled cache lives apart from the full one."""
+    """Where a study keeps its tables, on any file system; a sampled cache lives apart from the full one."""
 
-    root: Path
+    root: str
     sampled: bool = False
 
     @property
-    def cache(self) -> Path:
-        return self.root / ("cache_sample" if self.sampled else "cache_full")
+    def cache(self) -> str:
+        return join(self.root, "cache_sample" if self.sampled else "cache_full")
 
     @property
-    def drug_exposure(self) -> Path:
-        return self.cache / "drug_exposure"
+    def drug_exposure(self) -> str:
+        return join(self.cache, "drug_exposure")
 
     @property
-    def observation_period(self) -> Path:
-        return self.cache / "observation_period"
+    def observation_period(self) -> str:
+        return join(self.cache, "observation_period")
 
     @property
-    def measurement(self) -> Path:
-        return self.cache / "measurement"
+    def measurement(self) -> str:
+        return join(self.cache, "measurement")
 
     @property
-    def mapping(self) -> Path:
-        return self.root / "mapping"
+    def mapping(self) -> str:
+        return join(self.root, "mapping")
 
     @property
-    def catalog(self) -> Path:
-        return self.root / "catalog"
+    def catalog(self) -> str:
+        return join(self.root, "catalog")
 
     @property
-    def cohorts(self) -> Path:
-        return self.root / "cohorts"
+    def cohorts(self) -> str:
+        return join(self.root, "cohorts")
 
 
 # Concept ids and possible ranges of the six biomarkers.

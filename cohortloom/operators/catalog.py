@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import vectors as V
 from cohortloom.functions.ids import synthetic_pair_id
+from cohortloom.operators import stats
 
 ITEM = ["drug_id", "name", "kind", "ingredient_concept_ids", "target_vector", "text_embedding"]
 
@@ -77,6 +78,25 @@ def lookup(items: DataFrame, index: DataFrame, codes: DataFrame) -> DataFrame:
     return codes.join(index, "prescribed_concept_id", "left").join(items, "drug_id", "left")
 
 
+def mapping_of_catalog(items: DataFrame, index: DataFrame) -> DataFrame:
+    """(drug_concept_id, ingredient_id, is_monotherapy) of every code of the catalog, for studies that have no mapping of their own."""
+    rows = index.join(items.select("drug_id", "kind"), "drug_id")
+    return rows.select(F.col("prescribed_concept_id").alias("drug_concept_id"), F.col("drug_id").alias("ingredient_id"), (F.col("kind") == "monotherapy").alias("is_monotherapy")).distinct()
+
+
+TARGET_LIST = "array<struct<uniprot_id:string,kd_nm:double,direction:int,potency_weight:double>>"
+
+
+def targets_as_json(catalog: DataFrame) -> DataFrame:
+    """The catalog with its list of targets as JSON text, nulls kept."""
+    return catalog.withColumn("targets", F.to_json("targets", {"ignoreNullFields": "false"}))
+
+
+def targets_from_json(catalog: DataFrame) -> DataFrame:
+    """The catalog with its list of targets read from JSON text; unreadable text gives null."""
+    return catalog.withColumn("targets", F.from_json("targets", TARGET_LIST))
+
+
 def is_combination(items: DataFrame) -> DataFrame:
     return items.withColumn("is_combination", F.size("ingredient_concept_ids") > 1)
 
@@ -114,3 +134,26 @@ def triplet_audit(triplets: DataFrame, embeddings: DataFrame) -> DataFrame:
         out = out.join(e.select(F.col("key").alias(f"k_{s}"), F.col("v").alias(f"v_{s}")), F.lower(F.trim(F.col(s))) == F.col(f"k_{s}"), "left")
     out = out.withColumn("d_ab", V.cosine_distance(F.col("v_a"), F.col("v_b"))).withColumn("d_ac", V.cosine_distance(F.col("v_a"), F.col("v_c")))
     return out.select("id", "d_ab", "d_ac", (F.col("d_ac") - F.col("d_ab")).alias("delta"), (F.col("d_ac") > F.col("d_ab")).alias("passed"))
+
+
+def untestable(triplets: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(id, n_missing) of triplets of which one name or more has no embedding."""
+    keys = embeddings.select(F.lower(F.trim("name")).alias("key")).distinct()
+    names = triplets.select("id", F.explode(F.array("a", "b", "c")).alias("name"))
+    return names.join(keys, F.lower(F.trim("name")) == F.col("key"), "left_anti").groupBy("id").agg(F.count("*").alias("n_missing"))
+
+
+def triplet_summary(audited: DataFrame) -> DataFrame:
+    """One row over the rows of ``triplet_audit``: counts, win rate, mean, sd (n), median, t, signed-rank z and both p-values of delta."""
+    one = audited.select(F.lit(1).alias("all"), "delta")
+    counts = one.groupBy("all").agg(
+        F.count("*").alias("n_triplets"), F.count("delta").alias("n_evaluated"), F.count_if(F.col("delta") > 0).alias("n_passed"),
+        F.count_if(F.col("delta") > 0).cast("double").alias("wins"),
+    )
+    spread = stats.moments(one, ["all"], "delta").select("all", F.col("mean").alias("mean_delta"), F.col("sd_pop").alias("sd_delta"), F.col("median").alias("median_delta"), "t", F.col("n").alias("n_t"))
+    ranks = stats.wilcoxon(one, ["all"], "delta").select("all", "z")
+    out = counts.join(spread, "all", "left").join(ranks, "all", "left")
+    return out.select(
+        "n_triplets", "n_evaluated", "n_passed", F.when(F.col("n_evaluated") > 0, F.col("wins") / F.col("n_evaluated")).alias("win_rate"), "mean_delta", "sd_delta", "median_delta",
+        "t", "z", stats.student_p("t", F.col("n_t") - 1).alias("p_t"), stats.normal_p("z").alias("p_wilcoxon"),
+    )

@@ -111,9 +111,11 @@ def _sums(points: DataFrame, centres: dict[int, np.ndarray]) -> list[tuple[int,
     return [tuple(r) for r in got]
 
 
-def cohort_distances(protos: DataFrame, block: int = 2000) -> DataFrame:
-    """(a, b, distance), a < b: 1 - the largest product of any two prototypes, within 0 and 2.
+def cohort_distances(protos: DataFrame, block: int = 2000, *, keep: int | None = None, most: float = 2.0) -> DataFrame:
+    """(a, b, distance), a < b: 1 - the largest product of any two prototypes, within 0 and 2, and at most ``most``.
 
+    With ``keep`` a pair of blocks gives only the pairs that are among the ``keep`` nearest of one of their two cohorts in it, smaller
+    ids first if tied: no other can be among its nearest of all.
     The screening sets every cohort against all others; it is done in pairs of blocks of about ``block`` prototypes, by matrix product.
     """
     blocks = max(1, -(-protos.count() // block))
@@ -131,8 +133,18 @@ def cohort_distances(protos: DataFrame, block: int = 2000) -> DataFrame:
         ids_l, start_l = np.unique(left["drug_id"].to_numpy(), return_index=True)
         ids_r, start_r = np.unique(right["drug_id"].to_numpy(), return_index=True)
         best = np.maximum.reduceat(np.maximum.reduceat(sim, start_l, axis=0), start_r, axis=1)
-        i, j = np.nonzero(ids_l[:, None] < ids_r[None, :]) if lo == hi else np.nonzero(ids_l[:, None] != ids_r[None, :])
-        return pd.DataFrame({"a": np.minimum(ids_l[i], ids_r[j]), "b": np.maximum(ids_l[i], ids_r[j]), "distance": np.clip(1 - best[i, j], 0, 2)})
+        far = np.clip(1 - best, 0, 2)
+        good = (ids_l[:, None] < ids_r[None, :]) if lo == hi else (ids_l[:, None] != ids_r[None, :])
+        if keep is not None:
+            apart = np.where(ids_l[:, None] != ids_r[None, :], far, np.inf)
+            # both lists are in order of id, so stable sorting puts smaller ids first
+            near = np.zeros(far.shape, bool)
+            np.put_along_axis(near, np.argsort(apart, 1, kind="stable")[:, :keep], True, 1)
+            back = np.zeros(far.shape, bool)
+            np.put_along_axis(back, np.argsort(apart, 0, kind="stable")[:keep], True, 0)
+            good &= near | back | (near | back).T if lo == hi else near | back
+        i, j = np.nonzero(good & (far <= most))
+        return pd.DataFrame({"a": np.minimum(ids_l[i], ids_r[j]), "b": np.maximum(ids_l[i], ids_r[j]), "distance": far[i, j]})
 
     return rows.groupBy("lo", "hi").applyInPandas(measure, "a long, b long, distance double")
 
@@ -173,7 +185,7 @@ def incident_sizes(pairs: DataFrame, index: DataFrame) -> DataFrame:
 def candidate_pairs(points: DataFrame, index: DataFrame, names: DataFrame, params: Screening = Screening()) -> DataFrame:
     """Screened pairs with names, distance and sizes, nearest first: both cohorts large enough before and after incident users are resolved."""
     big = index.groupBy("drug_id").agg(F.count("*").alias("n")).where(F.col("n") >= params.least_patients).select("drug_id")
-    near = nearest_cohorts(cohort_distances(prototypes(points.join(big, "drug_id", "left_semi"), params.prototypes)), params)
+    near = nearest_cohorts(cohort_distances(prototypes(points.join(big, "drug_id", "left_semi"), params.prototypes), keep=params.neighbours, most=params.max_distance), params)
     sized = incident_sizes(near, index).where((F.col("n_clean_a") >= params.least_patients) & (F.col("n_clean_b") >= params.least_patients))
     name = lambda s: names.select(F.col("drug_id").alias(s), F.col("name").alias(f"name_{s}"))
     out = sized.join(name("a"), "a", "left").join(name("b"), "b", "left")

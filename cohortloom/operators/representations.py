@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +21,39 @@ def remaining_passes(index: DataFrame, done: DataFrame | None = None) -> DataFra
     return rest.select((F.row_number().over(order) - 1).cast("int").alias("pass_id"), *KEYS, minute_before(F.col("t0")).alias("prediction_time"))
 
 
-def prediction_times(index: DataFrame, timepoint: str = "t0") -> DataFrame:
-    """Distinct (patient_id, prediction_time) as text to the minute, sorted; ``timepoint`` is t0, t_6m or t_12m."""
+def prediction_times(index: DataFrame, timepoint: str = "t0", person: str = "person_id") -> DataFrame:
+    """Distinct (patient_id, prediction_time) as text to the minute, sorted; ``timepoint`` is t0, t_6m or t_12m, ``person`` the id column."""
     if timepoint not in ("t0", "t_6m", "t_12m"):
         raise ValueError(f"unknown timepoint {timepoint!r}")
-    return index.select(F.col("person_id").cast("long").alias("patient_id"), minute_text(F.col(timepoint).cast("timestamp_ntz")).alias("prediction_time")).where("prediction_time is not null").distinct().orderBy("patient_id", "prediction_time")
+    return index.select(F.col(person).cast("long").alias("patient_id"), minute_text(F.col(timepoint).cast("timestamp_ntz")).alias("prediction_time")).where("prediction_time is not null").distinct().orderBy("patient_id", "prediction_time")
+
+
+def blood_draws(index: DataFrame, draws: DataFrame, least: float = 3.0, most: float = 24.0) -> DataFrame:
+    """(eid, t0, blood_draw_date, months_to_draw) of starts (eid, t0) with a draw (eid, blood_draw_date) ``least`` to ``most`` months later, of 30.4375 days.
+
+    Of several draws the earliest in that window counts. Null ids and days match nothing; repeated rows change nothing.
+    """
+    both = index.select("eid", "t0").distinct().join(draws.select("eid", "blood_draw_date"), "eid")
+    both = both.withColumn("months_to_draw", F.datediff("blood_draw_date", "t0") / 30.4375).where(F.col("months_to_draw").between(least, most))
+    first = F.min(F.struct("blood_draw_date", "months_to_draw"))
+    return both.groupBy("eid", "t0").agg(first.alias("x")).select("eid", "t0", "x.*")
+
+
+def inferred(times: DataFrame, model, width: int) -> DataFrame:
+    """Representations (person_id, prediction_time, vec) by ``model``: it gets a pandas frame of rows (person_id, prediction_time), a batch at
+    a time, and gives an array of ``width`` numbers for each. The model is sent to the workers and may load what it needs there."""
+
+    def run(stream):
+        for pdf in stream:
+            if len(pdf):
+                got = np.asarray(model(pdf), np.float32)
+                if got.shape != (len(pdf), width):
+                    raise ValueError(f"the model gave {got.shape}, not {(len(pdf), width)}")
+                yield pdf.assign(vec=list(got))
+
+    kinds = dict(times.dtypes)
+    cols = ["person_id", "prediction_time"]
+    return times.select(*cols).mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", vec array<float>")
 
 
 def dispatch(pass_rows: DataFrame, representations: DataFrame) -> DataFrame:
@@ -32,6 +61,12 @@ def dispatch(pass_rows: DataFrame, representations: DataFrame) -> DataFrame:
     return pass_rows.select(*KEYS, F.col("person_id").alias("patient_id")).join(representations, "patient_id").drop("patient_id")
 
 
+def dispatch_all(passes: DataFrame, representations: DataFrame) -> DataFrame:
+    """The same for all passes at once: ``representations`` has pass_id, patient_id and the feature columns."""
+    rows = passes.select("pass_id", *KEYS, F.col("person_id").alias("patient_id"))
+    return rows.join(representations, ["pass_id", "patient_id"]).drop("pass_id", "patient_id", "prediction_time")
+
+
 def merged(existing: DataFrame, new: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Union with one row per key; the new row wins."""
     both = existing.withColumn("gen", F.lit(0)).unionByName(new.withColumn("gen", F.lit(1)))

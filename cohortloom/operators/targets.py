@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,11 @@ def theoretical_catalog(ingredients: DataFrame, targets: DataFrame, vectors: Dat
     """
     keyed = targets.withColumn("acc", T.protein_accession(F.col("uniprot_id")))
     usable = weighted_targets(keyed.join(vectors.select(F.col("uniprot_id").alias("acc")), "acc", "left_semi"), cutoff, default)
-    parts = usable.join(vectors.select(F.col("uniprot_id").alias("acc"), "vp"), "acc").select("concept_id", F.posexplode("vp").alias("i", "x"), (F.col("weight") * F.col("sigma")).alias("w"))
-    sums = parts.groupBy("concept_id", "i").agg(F.sum(F.col("x").cast("double") * F.col("w")).cast("float").alias("x"))
-    ua = sums.groupBy("concept_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("ua"))
+    # one row a target, whose scaled vectors are added map-side
+    parts = usable.join(vectors.select(F.col("uniprot_id").alias("acc"), "vp"), "acc").select(
+        "concept_id", array_to_vector(F.transform("vp", lambda x: x.cast("double") * F.col("weight") * F.col("sigma"))).alias("part")
+    )
+    ua = parts.groupBy("concept_id").agg(vector_to_array(Summarizer.sum(F.col("part"))).cast("array<float>").alias("ua"))
     info = usable.groupBy("concept_id").agg(
         F.min("drug_chembl_id").alias("chembl_id"), F.count("*").alias("n_targets"), F.sort_array(F.collect_set("acc")).alias("target_uids"),
         F.sort_array(F.collect_set("mechanism_of_action")).alias("mechanisms"),

@@ -555,7 +555,7 @@ def feature_pathways(spark: SparkSession, d: str) -> DataFrame:
     """Truncated SVD of supplier by size of part; checked by its Gram matrix in the tests."""
     sold = load(spark, d, "lineitem").join(load(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
     hits = sold.select(F.col("l_suppkey").cast("string").alias("uniprot_id"), F.col("p_size").cast("string").alias("pathway_id"), F.lit("Homo sapiens").alias("species"))
-    return features.pathway_embeddings(hits, _suppliers(spark, d), 8).select("uniprot_id", F.round(V.norm(F.col("reactome_embedding")), 6).alias("length"))
+    return features.pathway_embeddings(hits, _suppliers(spark, d)).select("uniprot_id", F.round(V.norm(F.col("reactome_embedding")), 6).alias("length"))
 
 
 @query()
@@ -565,11 +565,14 @@ def feature_interactions(spark: SparkSession, d: str) -> DataFrame:
     return features.interaction_embeddings(pairs_, alias, _suppliers(spark, d), 8).select("uniprot_id", F.round(V.norm(F.col("string_embedding")), 6).alias("length"))
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS uniprot_id, 80 AS dim, 1.0::DOUBLE AS length FROM embeddings")
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(list_concat(embedding, embedding[1:16]), lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM e)
+SELECT CAST(vec_id AS VARCHAR) AS uniprot_id, len(v)::INTEGER AS dim, round(v[1] / l, 4) AS head, round(v[64] / l, 4) AS mid, round(v[80] / l, 4) AS tail FROM n"""
+)
 def feature_assembly(spark: SparkSession, d: str) -> DataFrame:
     e = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("uniprot_id"), "embedding")
     other = e.select("uniprot_id", F.slice("embedding", 1, 16).alias("part"))
-    return features.assembled_vectors(e, other).select("uniprot_id", F.size("vp").alias("dim"), F.round(V.norm(F.col("vp")), 4).alias("length"))
+    return features.assembled_vectors(e, other).select("uniprot_id", F.size("vp").alias("dim"), *[F.round(F.get("vp", F.lit(i)).cast("double"), 4).alias(n) for i, n in ((0, "head"), (63, "mid"), (79, "tail"))])
 
 
 # ---------------------------------------------------------------- pairs of cohorts
@@ -691,9 +694,13 @@ FROM t LEFT JOIN e x ON x.name = a LEFT JOIN e y ON y.name = b LEFT JOIN e z ON
 SELECT id, round(ab, 5) AS d_ab, round(ac, 5) AS d_ac, round(ac - ab, 5) AS delta FROM d"""
 )
 def triplet_audit(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.triplet_audit(*_triplets(spark, d)).select("id", *[F.round(c, 5).alias(c) for c in ("d_ab", "d_ac", "delta")])
+
+
+def _triplets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     t = load(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_partkey").cast("string").alias("a"), F.col("l_suppkey").cast("string").alias("b"), F.col("l_quantity").cast("int").cast("string").alias("c"))
     e = load(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("dense_embedding"))
-    return catalog.triplet_audit(t, e).select("id", *[F.round(c, 5).alias(c) for c in ("d_ab", "d_ac", "delta")])
+    return t, e
 
 
 # ---------------------------------------------------------------- audits

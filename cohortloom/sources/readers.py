@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cohortloom.sources import files
+
 TEXT = ", ".join
 
 
@@ -23,9 +25,9 @@ def csv_shards(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return spark.read.schema(strings(*columns)).option("header", True).option("enforceSchema", False).csv(path)
 
 
-def tolerant_csv(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+def tolerant_csv(spark: SparkSession, path: str, *columns: str, header: bool = True) -> DataFrame:
     """CSV with doubled quotes and rows of any length: short ones are padded with null, long ones cut."""
-    return spark.read.schema(strings(*columns)).option("header", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(strings(*columns)).option("header", header).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
 
 
 def typed_csv(spark: SparkSession, path: str, schema: str, *keep: str) -> DataFrame:
@@ -144,26 +146,19 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def metadata(path: str) -> dict:
+def metadata(spark: SparkSession, path: str) -> dict:
     """metadata.json of a saved cohort folder."""
-    if not os.path.isdir(path):
+    if not files.is_folder(spark, path):
         raise NotADirectoryError(path)
-    file = os.path.join(path, "metadata.json")
-    if not os.path.exists(file):
+    file = files.join(path, "metadata.json")
+    if not files.exists(spark, file):
         raise FileNotFoundError(file)
-    with open(file) as f:
-        return json.load(f)
+    return json.loads(files.read_text(spark, file))
 
 
 def first_existing(spark: SparkSession, folder: str, *names: str) -> str | None:
     """Path of the first name that exists, on any file system Spark knows."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for n in names:
-        p = jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}")
-        if p.getFileSystem(conf).exists(p):
-            return f"{folder}/{n}"
-    return None
+    return next((p for p in (files.join(folder, n) for n in names) if files.exists(spark, p)), None)
 
 
 def person_table(spark: SparkSession, folder: str) -> DataFrame | None:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.sources import files
+
 
 def parquet(df: DataFrame, path: str, *, partition: str | None = None, compression: str = "zstd", mode: str = "overwrite") -> None:
     """Parquet, optionally one folder per value of ``partition``; rows of a value are brought together first, large ones by AQE in several files."""
@@ -18,8 +19,10 @@ def parquet(df: DataFrame, path: str, *, partition: str | None = None, compressi
         df.write.mode(mode).option("compression", compression).parquet(path)
 
 
-def sorted_csv(df: DataFrame, path: str, *order: str) -> None:
-    """A small table as one sorted CSV file with header."""
+def sorted_csv(df: DataFrame, path: str, *order: str, most: int = 5_000_000) -> None:
+    """A table as one sorted CSV file with header. One file is one task: more than ``most`` rows are refused."""
+    if df.count() > most:
+        raise ValueError(f"more than {most} rows are too many for one sorted file")
     df.coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -47,10 +50,8 @@ def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
     fs.delete(p(old), True)
 
 
-def cohort(path: str, meta: dict, **tables: DataFrame) -> None:
+def cohort(spark: SparkSession, path: str, meta: dict, **tables: DataFrame) -> None:
     """A cohort folder: metadata.json and one Parquet table per artefact."""
-    os.makedirs(path, exist_ok=True)
     for name, df in tables.items():
-        parquet(df, os.path.join(path, name))
-    with open(os.path.join(path, "metadata.json"), "w") as f:
-        json.dump(meta, f, indent=1)
+        parquet(df, files.join(path, name))
+    files.write_text(spark, files.join(path, "metadata.json"), json.dumps(meta, indent=1))

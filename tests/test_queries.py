@@ -2,11 +2,11 @@
 
 import pytest
 
-from cohortloom.plans import problem_queries, reference_queries
+from cohortloom.plans import artefact_queries, problem_queries, reference_queries
 from tests.conftest import DATA
 
-QUERIES = problem_queries.QUERIES | reference_queries.QUERIES
-SQL = problem_queries.SQL | reference_queries.SQL
+QUERIES = problem_queries.QUERIES | reference_queries.QUERIES | artefact_queries.QUERIES
+SQL = problem_queries.SQL | reference_queries.SQL | artefact_queries.SQL
 SMALL = f"{DATA}/sf0.001"
 
 

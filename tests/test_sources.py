@@ -76,13 +76,13 @@ def test_writers(spark, tmp_path):
     writers.replace(spark, spark.read.parquet(str(tmp_path / "t")).where("drug_id = 1"), str(tmp_path / "t"))
     assert readers.row_count(spark, str(tmp_path / "t")) == 1
     writers.sorted_csv(df, str(tmp_path / "c"), "name")
-    writers.cohort(str(tmp_path / "k"), {"drug_id": 1}, index=df)
-    assert readers.metadata(str(tmp_path / "k")) == {"drug_id": 1} and readers.parquet(spark, str(tmp_path / "k/index"), "name").columns == ["name"]
+    writers.cohort(spark, str(tmp_path / "k"), {"drug_id": 1}, index=df)
+    assert readers.metadata(spark, str(tmp_path / "k")) == {"drug_id": 1} and readers.parquet(spark, str(tmp_path / "k/index"), "name").columns == ["name"]
     os.remove(tmp_path / "k/metadata.json")
     with pytest.raises(FileNotFoundError):
-        readers.metadata(str(tmp_path / "k"))
+        readers.metadata(spark, str(tmp_path / "k"))
     with pytest.raises(NotADirectoryError):
-        readers.metadata(str(tmp_path / "zzz"))
+        readers.metadata(spark, str(tmp_path / "zzz"))
     with pytest.raises(FileNotFoundError):
         readers.require(spark, str(tmp_path / "absent"))
     look = readers.overview(df, "name", "absent")
@@ -124,14 +124,14 @@ def test_command_line(spark, tmp_path):
     put("protein_vectors", [("P1", [1.0, 0.0])], "uniprot_id string, vp array<float>")
     put("text_embeddings", [(1, [1.0, 0.0])], "concept_id long, dense_embedding array<float>")
     cli.main(["all", str(tmp_path)])
-    p = Paths(tmp_path)
-    man = {r["drug_id"]: (r["n_final"], r["status"]) for r in spark.read.parquet(str(p.cohorts / "manifest")).collect()}
+    p = Paths(str(tmp_path))
+    man = {r["drug_id"]: (r["n_final"], r["status"]) for r in spark.read.parquet(f"{p.cohorts}/manifest").collect()}
     assert man == {1: (2, "SAVED"), 2: (3, "SAVED")}
-    out = spark.read.parquet(str(p.cohorts / "outcomes")).collect()
+    out = spark.read.parquet(f"{p.cohorts}/outcomes").collect()
     assert [(r["person_id"], r["baseline_val"], r["m6_val"], r["delta_6m"]) for r in out] == [(1, 120.0, 110.0, -10.0)]
     cli.main(["cohorts", str(tmp_path)])
-    assert spark.read.parquet(str(p.cohorts / "index")).count() == 5
-    assert spark.read.parquet(str(p.cohorts / "audit/windows")).select(F.sum("n_outside")).first()[0] == 0
+    assert spark.read.parquet(f"{p.cohorts}/index").count() == 5
+    assert spark.read.parquet(f"{p.cohorts}/audit/windows").select(F.sum("n_outside")).first()[0] == 0
 
 
 def test_feature_stage(spark, tmp_path):
