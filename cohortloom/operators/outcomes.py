@@ -29,7 +29,12 @@ def windowed_outcomes(index: DataFrame, values: DataFrame, windows: dict[str, tu
     aggregate picks it, so nothing is sorted. Non-null persons and days only.
     """
     low, high = min(w[0] for w in windows.values()), max(w[1] for w in windows.values())
-    near = index.select("drug_id", "person_id", "t0").join(values.where("measurement_date is not null and val is not null"), "person_id")
+    # a value lies in one stretch of days, a start reaches a few: persons with very many of either are spread over time
+    stretch = lambda c: F.floor(c / F.lit(max(1, high - low)))
+    start = F.unix_date("t0")
+    seeks = index.select("drug_id", "person_id", "t0").where("t0 is not null").withColumn("stretch", F.explode(F.sequence(stretch(start + low), stretch(start + high))))
+    held = values.where("measurement_date is not null and val is not null").withColumn("stretch", stretch(F.unix_date("measurement_date")))
+    near = seeks.join(held, ["person_id", "stretch"])
     gap = F.datediff("measurement_date", "t0")
     near = near.where(gap.between(low, high)).withColumn("win", window_name(F.col("measurement_date"), F.col("t0"), windows)).where("win is not null")
     picks = []
