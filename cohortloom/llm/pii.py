@@ -220,7 +220,7 @@ class Tagger:
                 at[on] = (sums[s - 1, :, on].T + lawful.T[now]).argmax(1)
         return [path[:n, i] for i, n in enumerate(length)]
 
-    def text_scores(self, texts: list[str], window: int = 500, stride: int = 440, batch: int = 256) -> list[np.ndarray]:
+    def text_scores(self, texts: list[str], window: int = 1000, stride: int = 940, batch: int = 256) -> list[np.ndarray]:
         """Emissions of whole texts from overlapping windows, averaged with weights that rise towards a window's middle."""
         codes = [encode_chars(t) for t in texts]
         out: list[np.ndarray] = [np.zeros((0, LABELS), np.float32) for _ in texts]
