@@ -560,9 +560,9 @@ def feature_pathways(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def feature_interactions(spark: SparkSession, d: str) -> DataFrame:
-    pairs_ = load(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("protein1"), F.concat(F.lit("s"), F.col("l_partkey") % 40).alias("protein2"), (F.col("l_quantity") * 20).cast("int").alias("combined_score"))
+    pairs_ = load(spark, d, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("protein1"), F.concat(F.lit("p"), F.col("l_partkey")).alias("protein2"), (F.col("l_quantity") * 20).cast("int").alias("combined_score"))
     alias = _suppliers(spark, d).select(F.concat(F.lit("s"), "uniprot_id").alias("string_id"), F.col("uniprot_id").alias("alias"))
-    return features.interaction_embeddings(pairs_, alias, _suppliers(spark, d), 8).select("uniprot_id", F.round(V.norm(F.col("string_embedding")), 6).alias("length"))
+    return features.interaction_embeddings(pairs_, alias, _suppliers(spark, d)).select("uniprot_id", F.round(V.norm(F.col("string_embedding")), 6).alias("length"))
 
 
 @query(
