@@ -10,6 +10,7 @@ at most once, so the work is linear in the length of the piece.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections import OrderedDict
 from collections.abc import Iterator
@@ -22,15 +23,22 @@ from pyspark.sql import functions as F
 
 from cohortloom.session import spread
 
+#: Largest rank file, in bytes, that is sent to the workers.
+MOST_BYTES = 64 << 20
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 # Fixed value: the public split pattern of this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def read_ranks(data: bytes) -> dict[bytes, int]:
+    """Ranks of the lines of a rank file."""
+    return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        return read_ranks(f.read())
 
 
 class ByteBpe:
@@ -104,6 +112,8 @@ class ByteBpe:
                 if inner is None:
                     break
                 bound, a = a, inner[1]
+        if len(self.fits) >= self.memo:
+            self.fits.clear()
         self.fits[key] = apart
         return apart
 
@@ -175,6 +185,13 @@ def encoder(path: str) -> ByteBpe:
     return _ENCODERS[path]
 
 
+def _encoder_of(key: str, data: bytes) -> ByteBpe:
+    """The encoder of a rank file's content, built once per Python process."""
+    if key not in _ENCODERS:
+        _ENCODERS[key] = ByteBpe(read_ranks(data))
+    return _ENCODERS[key]
+
+
 def rank_file(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
     return os.path.join(folder or TOKENIZER_DIR, f"{name}.tiktoken")
 
@@ -185,12 +202,17 @@ def encode_corpus(df: DataFrame, *, doc_id: str, text: str, path: str | None = N
     One row per row of ``df``, repeated ones too; null ids stay null. Null and empty texts give an empty list.
     Texts of any length are encoded whole. There is no shuffle but where the input has fewer partitions than cores; batches are kept small for long texts.
     """
-    file = path or rank_file()
+    with open(path or rank_file(), "rb") as f:
+        data = f.read()
+    if len(data) > MOST_BYTES:
+        raise ValueError(f"a rank file of {len(data)} bytes is too large to be sent to the workers")
+    # the ranks travel with the job: the executors need no file
+    key, sent = hashlib.blake2b(data).hexdigest(), df.sparkSession.sparkContext.broadcast(data)
     kind = df.schema[doc_id].dataType.simpleString()
     out = f"`{doc_id}` {kind}, " + ("n_tokens long" if count_only else "ids array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(file)
+        enc = _encoder_of(key, sent.value)
         for b in batches:
             keys, texts = b.column(0), b.column(1)
             for at in range(0, b.num_rows, 256):
