@@ -146,7 +146,7 @@ def round_of(texts: list[str], spans: list[list[tuple[int, int, int]]], size: in
     maker = Maker(rng)
     fresh = [renew(t, sp, maker) if maker.chance(0.75) else (t, sp) for t, sp in zip(texts, spans)]
     out = windows([f[0] for f in fresh], [f[1] for f in fresh], size, rng)
-    made, goal = [], int(0.8 * len(out))
+    made, goal = [], max(64, int(0.8 * len(out)))
     while len(made) < goal:
         t, sp = maker.passage()
         made += windows([t], [[(a, z, KINDS.index(k)) for a, z, k in sp]], size, rng)
@@ -299,7 +299,8 @@ class Team:
         self.weights = np.frombuffer(ctx.RawArray("f", total), np.float32)
         self.grads = np.frombuffer(ctx.RawArray("f", total * workers), np.float32).reshape(workers, total)
         self.losses = np.frombuffer(ctx.RawArray("f", workers), np.float32)
-        self.ready, self.done = ctx.Barrier(workers + 1), ctx.Barrier(workers + 1)
+        # a process that fails must not leave the others waiting
+        self.ready, self.done = ctx.Barrier(workers + 1, timeout=120), ctx.Barrier(workers + 1, timeout=120)
         self.jobs = [ctx.Process(target=self.work, args=(w, texts[w::workers], spans[w::workers], size, batch, seed), daemon=True) for w in range(workers)]
         for j in self.jobs:
             j.start()
@@ -317,7 +318,7 @@ class Team:
         m, grads = Tagger(**self.split(self.weights)), self.split(self.grads[w])
         queue: list[tuple[str, np.ndarray]] = []
         while True:
-            if len(queue) < batch:
+            while len(queue) < batch:
                 queue += round_of(texts, spans, size, rng)
             pick, queue = queue[:batch], queue[batch:]
             ids, gold = np.zeros((batch, size), np.uint8), np.zeros((batch, size), np.int64)
