@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.config import Screening
-from cohortloom.operators import audit, cache, catalog, cohorts, features, outcomes, pairs, representations, stats, targets, vocabulary
+from cohortloom.operators import audit, cache, catalog, cohorts, features, outcomes, pairs, representations, stats, svd, targets, vocabulary
 
 D0 = dt.date(2015, 1, 1)
 EXP = "person_id long, exp_date date, ingredient_id long, is_monotherapy boolean"
@@ -134,6 +134,58 @@ def test_svd_gram(spark):
     assert np.allclose(a @ a.T, want @ want.T, atol=1e-6)
 
 
+def test_svd_takes_few_passes(spark):
+    """An iteration that runs a job for every vector takes hundreds of jobs."""
+    rng = np.random.default_rng(2)
+    m = np.where(rng.random((300, 300)) < 0.1, rng.random((300, 300)), 0)
+    e = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in np.argwhere(m)], "i long, j long, x double")
+    sc = spark.sparkContext
+    sc.setJobGroup("few passes", "few passes")
+    try:
+        got = {r["i"]: r["vec"] for r in features.truncated_svd(e, 16, n_rows=300, n_cols=300).collect()}
+        assert 0 < len(sc.statusTracker().getJobIdsForGroup("few passes")) < 100
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    u, s, _ = np.linalg.svd(m)
+    want, a = u[:, :16] * s[:16], np.array([got[i] for i in range(300)])
+    assert np.allclose(a @ a.T, want @ want.T, atol=1e-6)
+
+
+@pytest.mark.parametrize("dense, part", [(2048, 4_000_000), (8, 4_000_000), (50, 100)])
+def test_svd_of_connected_parts(spark, monkeypatch, dense, part):
+    """Three equal parts and a larger one, either side the longer one, solved by tasks, by block Lanczos or by one pass; cells in halves."""
+    monkeypatch.setattr(svd, "DENSE", dense)
+    monkeypatch.setattr(svd, "PART", part)
+    rng = np.random.default_rng(3)
+    m, small = np.zeros((55, 81)), 4 * rng.random((5, 7))
+    m[:40, :60] = rng.random((40, 60))
+    for i in range(3):
+        m[40 + 5 * i : 45 + 5 * i, 60 + 7 * i : 67 + 7 * i] = small
+    for x in (m, m.T):
+        cells = [(f"r{i:02}", f"c{j:02}", float(x[i, j]) / 2) for i, j in np.argwhere(x)]
+        e = spark.createDataFrame(cells * 2 + [(None, "c00", 1.0), ("r00", None, 1.0), ("r00", "c00", None)], "i string, j string, x double")
+        got = {r["i"]: r["vec"] for r in features.truncated_svd(e, 4, n_rows=x.shape[0], n_cols=x.shape[1]).collect()}
+        a = np.array([got[f"r{i:02}"] for i in range(len(x))])
+        u, s, _ = np.linalg.svd(x, full_matrices=False)
+        want = u[:, :4] * s[:4]
+        assert a.shape == want.shape and np.allclose(a @ a.T, want @ want.T, atol=1e-6)
+
+
+def test_largest_finds_equal_values_and_low_ranks():
+    q = np.linalg.qr(np.random.default_rng(4).normal(size=(90, 90)))[0]
+    for values, k in (([5.0, 5.0, 5.0, 1.0], 4), ([5.0, 5.0, 5.0, 1.0], 6), (list(np.linspace(9, 1, 90)), 3)):
+        g = (q[:, : len(values)] * values) @ q[:, : len(values)].T
+        value, vec = svd.largest(lambda x, g=g: g @ x, 90, k)
+        n = min(k, len(values))
+        assert np.allclose(value[:n], values[:n]) and np.allclose(value[n:], 0, atol=1e-9)
+        assert np.allclose(g @ vec, vec * value, atol=1e-7) and np.allclose(vec.T @ vec, np.eye(vec.shape[1]))
+    n, s, x = np.array([2, 1, 3]), np.array([0, 2, 1, 0, 1, 3]), np.arange(1.0, 7)
+    full = np.zeros((3, 40))
+    full[np.repeat(np.arange(3), n), s] = x
+    assert np.allclose(svd.gram(n, s, x, 40), full.T @ full) and np.allclose(svd.gram(n, s, x, 4), (full.T @ full)[:4, :4])
+    assert svd.labels(7, np.array([5, 3, 1]), np.array([3, 1, 6])).tolist() == [0, 1, 2, 1, 4, 1, 1]
+
+
 def test_protein_features(spark):
     prot = spark.createDataFrame([("A",), ("B",), ("C",)], "uniprot_id string")
     re_ = spark.createDataFrame([("A", "p1", "", "", "", "Homo sapiens"), ("B", "p1", "", "", "", "Homo sapiens"), ("B", "p2", "", "", "", "Homo sapiens"), ("A", "p9", "", "", "", "Mus")], "uniprot_id string, pathway_id string, url string, pathway_name string, evidence string, species string")
