@@ -186,6 +186,38 @@ def test_largest_finds_equal_values_and_low_ranks():
     assert svd.labels(7, np.array([5, 3, 1]), np.array([3, 1, 6])).tolist() == [0, 1, 2, 1, 4, 1, 1]
 
 
+def test_largest_finds_equal_values_with_small_blocks():
+    q = np.linalg.qr(np.random.default_rng(4).normal(size=(400, 400)))[0]
+    for values, k, block in (([5.0] * 9 + [1.0], 9, 2), ([5.0] * 3 + [1.0], 2, 1), ([9.0] * 7 + list(np.linspace(8, 1, 300)), 12, 3), ([8.9] * 10 + list(np.linspace(9, 1, 390)), 14, 2)):
+        values = np.sort(values)[::-1]
+        g = (q[:, : len(values)] * values) @ q[:, : len(values)].T
+        value, vec = svd.largest(lambda x, g=g: g @ x, 400, k, block=block)
+        assert np.allclose(value, values[:k]) and np.allclose(g @ vec, vec * value, atol=1e-7) and np.allclose(vec.T @ vec, np.eye(k))
+
+
+def test_svd_of_a_large_part_leaves_little_on_disk(spark, monkeypatch):
+    """Sums of the passes over one large part, with several blocks, do not pile up as shuffle files."""
+    monkeypatch.setattr(svd, "DENSE", 8)
+    rng = np.random.default_rng(5)
+    at = np.unique(rng.integers(0, 1500 * 3000, 60_000))
+    cells = [(int(c) // 3000, int(c) % 3000, float(x)) for c, x in zip(at, 0.5 + rng.random(len(at)), strict=True)]
+    e = spark.createDataFrame(cells, "i long, j long, x double")
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled() -> int:
+        files = manager.getAllFiles()
+        return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+    before = shuffled()
+    got = {r["i"]: r["vec"] for r in features.truncated_svd(e, 32, n_rows=1500, n_cols=3000).collect()}
+    assert shuffled() - before < 20_000_000
+    m = np.zeros((1500, 3000))
+    m.ravel()[at] = [c[2] for c in cells]
+    u, s, _ = np.linalg.svd(m, full_matrices=False)
+    want, a = u[:, :32] * s[:32], np.array([got[i] for i in range(1500)])
+    assert np.allclose(a @ a.T, want @ want.T, atol=1e-6)
+
+
 def test_protein_features(spark):
     prot = spark.createDataFrame([("A",), ("B",), ("C",)], "uniprot_id string")
     re_ = spark.createDataFrame([("A", "p1", "", "", "", "Homo sapiens"), ("B", "p1", "", "", "", "Homo sapiens"), ("B", "p2", "", "", "", "Homo sapiens"), ("A", "p9", "", "", "", "Mus")], "uniprot_id string, pathway_id string, url string, pathway_name string, evidence string, species string")
